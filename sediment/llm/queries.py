@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import exact_dedup, quality_rules, sharding
+from sediment.llm import exact_dedup, license_scan, minhash, mixing, packing, quality_classifier, quality_rules, sharding, warc
 from sediment.session import scratch_path
 
 
@@ -89,9 +89,98 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    placed, (_, epoch, block, slot, place) = mixing.mix(docs)
+    return placed.select("doc_id", "source", F.col(epoch).alias("epoch"), F.col(block).alias("block"), F.col(slot).alias("slot"), F.col(place).alias("place"))
+
+
+OP4_SQL = """
+WITH RECURSIVE sizes AS (
+  SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1
+), want AS (
+  SELECT s, n, 1000 * pow(n, 0.7) / sum(pow(n, 0.7)) OVER () AS x FROM sizes
+), floors AS (
+  SELECT s, n, x, greatest(1, CAST(floor(x) AS BIGINT)) AS w FROM want
+), parts AS (
+  SELECT s, n, row_number() OVER (ORDER BY s) AS i,
+         w + CASE WHEN row_number() OVER (ORDER BY w - x, s) <= 1000 - sum(w) OVER () THEN 1 ELSE 0 END AS p,
+         CAST(ceil(n / 64) AS BIGINT) AS blocks
+  FROM floors
+), shares AS (
+  SELECT list(p ORDER BY i) AS ps FROM parts
+), sched AS (
+  SELECT 0 AS t, [CAST(0 AS BIGINT) FOR p IN ps] AS done, ps, CAST(NULL AS BIGINT) AS c FROM shares
+  UNION ALL
+  SELECT t + 1, [CASE WHEN j = best THEN done[j] + 1 ELSE done[j] END FOR j IN range(1, len(ps) + 1)], ps, best
+  FROM (SELECT *, list_min([struct_pack(d := CAST(ceil(1000 * (done[j] + 1) / ps[j]) AS BIGINT), j := j)
+                            FOR j IN range(1, len(ps) + 1) IF floor(1000 * done[j] / ps[j]) <= t AND done[j] < ps[j]]).j AS best
+        FROM sched WHERE t < 1000)
+), template AS (
+  SELECT s, p, blocks, t - 1 AS slot, row_number() OVER (PARTITION BY c ORDER BY t) - 1 AS nth
+  FROM sched JOIN parts ON c = i WHERE c IS NOT NULL
+), ends AS (
+  SELECT max((blocks - 1) // p * 1000 + slot) + 1 AS e FROM template WHERE nth = (blocks - 1) % p
+), owned AS (
+  SELECT s, any_value(p) AS p, any_value(blocks) AS blocks, any_value(e // 1000) * any_value(p) + count(*) FILTER (slot < e % 1000) AS k
+  FROM template, ends GROUP BY s
+), numbered AS (
+  SELECT doc_id, source, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS q FROM documents
+), laid AS (
+  SELECT doc_id, source, numbered.s, q, p, blocks, unnest(range(0, CAST((k - 1 - q // 64) // blocks + 1 AS BIGINT))) AS epoch
+  FROM numbered JOIN owned ON numbered.s = owned.s
+)
+SELECT doc_id, source, epoch, epoch * laid.blocks + q // 64 AS block,
+       (epoch * laid.blocks + q // 64) // laid.p * 1000 + slot AS slot, q % 64 AS place
+FROM laid JOIN template ON laid.s = template.s AND (epoch * laid.blocks + q // 64) % laid.p = nth
+"""
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("digest_ok")
+
+
+OP10_SQL = """
+WITH h AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b) AS payload_bytes, sha1(b) AS x FROM h),
+e AS (
+  SELECT page_id, payload_bytes,
+         translate(list_aggregate([lpad(upper(to_base(CAST('0x' || x[1 + 10 * i : 10 + 10 * i] AS BIGINT), 32)), 8, '0') FOR i IN range(0, 4)], 'string_agg', ''),
+                   '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest
+  FROM d
+), f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM e)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM f
+"""
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_pfair_mixing": op4_pfair_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_feistel_sharding": op6_feistel_sharding,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_setsketch_dedup": op9_setsketch_dedup,
+    "op10_warc_assembly": op10_warc_assembly,
 }
-SQL = {"op2_exact_dedup": OP2_SQL, "op5_quality_rules": OP5_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op4_pfair_mixing": OP4_SQL, "op5_quality_rules": OP5_SQL, "op10_warc_assembly": OP10_SQL}
