@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm import exact_dedup, license_scan, minhash, mixing, packing, quality_classifier, quality_rules, sharding, warc
+from sediment.llm import exact_dedup, license_scan, minhash, mixing, packing, quality_classifier, quality_rules, sharding, toxicity, warc
 from sediment.session import scratch_path
 
 
@@ -148,6 +148,10 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+
+
 def op9_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -180,6 +184,7 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_feistel_sharding": op6_feistel_sharding,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_compression_toxicity": op8_compression_toxicity,
     "op9_setsketch_dedup": op9_setsketch_dedup,
     "op10_warc_assembly": op10_warc_assembly,
 }
