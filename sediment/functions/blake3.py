@@ -1,4 +1,4 @@
-"""BLAKE3 (unkeyed, 32 bytes) over numpy lanes: all 1 KiB leaves of an input advance together."""
+"""BLAKE3 (unkeyed, 32 bytes) over numpy lanes: all 1 KiB leaves of a batch of inputs advance together."""
 
 from __future__ import annotations
 
@@ -34,32 +34,41 @@ def _compress(value: np.ndarray, words: np.ndarray, counter: np.ndarray, length:
     return np.stack([s[i] ^ s[i + 8] for i in range(8)], axis=1)
 
 
-def _leaves(data: bytes) -> np.ndarray:
-    """Chaining values of all leaves; a single leaf is the root."""
-    n = max(1, -(-len(data) // LEAF))
-    padded = np.frombuffer(data.ljust(n * LEAF, b"\0"), "<u4").reshape(n, LEAF // BLOCK, 16)
-    sizes = np.full(n, LEAF, np.int64)
-    sizes[-1] = len(data) - (n - 1) * LEAF
-    blocks = np.maximum(1, -(-sizes // BLOCK))
-    value = np.tile(IV, (n, 1))
+def blake3_many(inputs: list[bytes]) -> list[str]:
+    """Hex hashes of the inputs."""
+    if not inputs:
+        return []
+    sizes = np.array([len(x) for x in inputs], np.int64)
+    leaves = np.maximum(1, -(-sizes // LEAF))
+    owner = np.repeat(np.arange(len(inputs)), leaves)
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(leaves) - leaves, leaves)
+    data = b"".join(bytes(x).ljust(int(n) * LEAF, b"\0") for x, n in zip(inputs, leaves))
+    words = np.frombuffer(data, "<u4").reshape(len(owner), LEAF // BLOCK, 16)
+    length = np.minimum(sizes[owner] - place * LEAF, LEAF)
+    blocks, only = np.maximum(1, -(-length // BLOCK)), leaves[owner] == 1
+    value = np.tile(IV, (len(owner), 1))
     for b in range(int(blocks.max())):
         live = np.flatnonzero(b < blocks)
         end = b == blocks[live] - 1
-        length = np.where(end, sizes[live] - b * BLOCK, BLOCK)
-        flags = np.where(b == 0, CHUNK_START, 0) | np.where(end, CHUNK_END | (ROOT if n == 1 else 0), 0)
-        value[live] = _compress(value[live], padded[live, b], live.astype(np.uint64), length, flags)
-    return value
+        flags = np.where(b == 0, CHUNK_START, 0) | np.where(end, CHUNK_END, 0) | np.where(end & only[live], ROOT, 0)
+        value[live] = _compress(value[live], words[live, b], place[live].astype(np.uint64), np.where(end, length[live] - b * BLOCK, BLOCK), flags)
+    return [v.astype("<u4").tobytes().hex() for v in _roots(value, owner)]
 
 
-def _tree(values: np.ndarray, root: bool) -> np.ndarray:
-    """The left subtree holds the largest power of two of leaves below the whole."""
-    if len(values) == 1:
-        return values[0]
-    half = 1 << ((len(values) - 1).bit_length() - 1)
-    words = np.concatenate([_tree(values[:half], False), _tree(values[half:], False)])[None]
-    flags = np.array([PARENT | (ROOT if root else 0)])
-    return _compress(IV[None], words, np.zeros(1, np.uint64), np.array([BLOCK]), flags)[0]
+def _roots(value: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Neighbours join level by level, an odd last one goes up as it is: the left subtree is always full."""
+    while len(owner) > owner[-1] + 1:
+        first = np.searchsorted(owner, owner)
+        count = np.searchsorted(owner, owner, "right") - first
+        place = np.arange(len(owner)) - first
+        left = np.flatnonzero((place % 2 == 0) & (place + 1 < count))
+        flags = PARENT | np.where(count[left] == 2, ROOT, 0)
+        words = np.concatenate([value[left], value[left + 1]], axis=1)
+        value[left] = _compress(np.tile(IV, (len(left), 1)), words, np.zeros(len(left), np.uint64), np.full(len(left), BLOCK), flags)
+        stay = place % 2 == 0
+        value, owner = value[stay], owner[stay]
+    return value
 
 
 def blake3_hex(data: bytes) -> str:
-    return _tree(_leaves(bytes(data)), True).astype("<u4").tobytes().hex()
+    return blake3_many([data])[0]

@@ -92,8 +92,8 @@ def decoded_column(entry_type: Column, payload: Column, base: Column, length: Co
 def distinct_bytes(data: Column) -> Column:
     """Distinct byte values among the first 1024 bytes, in built-in functions."""
     head = F.hex(F.substring(data, 1, ENTROPY_SAMPLE))
-    n = F.least(F.octet_length(data), F.lit(ENTROPY_SAMPLE))
-    return F.when(n > 0, F.size(F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(head, 2 * i + 1, 2))))).otherwise(0)
+    pairs = F.regexp_extract_all(head, F.lit(".."), F.lit(0))
+    return F.when(F.octet_length(data) > 0, F.size(F.array_distinct(pairs))).otherwise(0)
 
 
 def high_entropy(data: Column) -> Column:
