@@ -218,3 +218,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     named = reps.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     found = node.join(named, "digest", "left").select("doc_id", "n", F.coalesce("component", "node").alias("c"), "node")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c") == -(1 << 63), F.lit(None)).otherwise(F.col("c")).alias("component_id"), (F.col("c") == F.col("node")).alias("kept"))
+
+
+#: Dropped ids that may be broadcast to the scan that filters the texts.
+BROADCAST_ROWS = 1_000_000
+
+
+def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One document of each component, with the columns of ``docs``; documents without words all stay."""
+    found = staged(near_duplicates(docs, percent, id_col, text_col), "near-duplicates")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    gone = F.broadcast(gone) if found.where(~F.col("kept")).count() <= BROADCAST_ROWS else gone.hint("merge")
+    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
