@@ -2,8 +2,11 @@
 
 Heuristic labellers vote good, bad or nothing on every document. Expectation
 maximisation over the counts of vote patterns (of all documents; at most 3 to the
-number of labellers) estimates each labeller's accuracy and the share of good
-documents; a pattern's posterior is the label of its documents. Posterior labels
+number of labellers) estimates how each labeller votes on good and on bad
+documents and the share of good ones; a pattern's posterior is the label of its
+documents. What a labeller is built for bounds how often it may call a good
+document bad, which fixes the classes: junk of several kinds, each seen by few
+labellers, is one class against them all. Posterior labels
 of a bounded sample train a linear scorer on hashed features, and the scorer runs
 over every whole text.
 
@@ -28,7 +31,8 @@ from pyspark.sql import functions as F
 from sediment.session import staged
 
 GOOD, BAD, NONE = 1, 0, 2
-LABELLERS = ("length", "symbols", "case", "lines", "variety", "punctuation", "letters", "rhythm")
+#: Labellers, and the greatest share of good documents that each may call bad.
+LABELLERS = {"length": 0.2, "symbols": 0.002, "case": 0.002, "lines": 0.01, "variety": 0.002, "punctuation": 0.2, "letters": 0.005, "rhythm": 0.01}
 WORDS_KEPT = 200_000
 
 
@@ -70,11 +74,11 @@ def votes(m: Measured) -> tuple[int, ...]:
         return BAD if x < bad_below else GOOD if x >= good_from else NONE
 
     return (
-        between(m.n, 50, 80),
+        between(m.n, 5, 80),
         between(-m.symbols / n, -0.1, -0.02),
         between(-m.upper / solid, -0.3, -0.1),
-        between(-m.dup / max(m.lines, 1), -0.3, -0.05),
-        between(m.distinct / math.sqrt(2 * n), 2, 4),
+        between(-m.dup / max(m.lines, 1), -0.3, -0.05) if m.lines > 3 else NONE,
+        between(m.distinct / math.sqrt(2 * n), 2, 4) if m.n >= 50 else NONE,
         between(m.ended / max(m.lines, 1), 0.3, 0.7),
         between((m.letters + m.high) / solid, 0.7, 0.85),
         BAD if mean > 12 or mean < 2.5 else GOOD if 3 <= mean <= 10 else NONE,
@@ -85,31 +89,39 @@ def pattern(given: tuple[int, ...]) -> int:
     return sum(v * 3**j for j, v in enumerate(given))
 
 
-def expectation_maximisation(counts: dict[int, int], labellers: int = len(LABELLERS), rounds: int = 200) -> tuple[np.ndarray, float, dict[int, float]]:
-    """(accuracies [labeller, truth], share of good, posterior of good by pattern).
+def expectation_maximisation(counts: dict[int, int], bounds: list[float] | None = None, rounds: int = 200) -> tuple[np.ndarray, float, dict[int, float]]:
+    """(vote shares [labeller, truth, vote], share of good, posterior of good by pattern).
 
-    A labeller that votes is right with its own probability on good and on bad
-    documents; starts above one half fix which class is which.
+    Shares are of the votes given; to abstain says nothing. ``bounds``: greatest
+    share of bad votes on good documents, by labeller.
     """
+    bounds = list(LABELLERS.values()) if bounds is None else bounds
     codes = sorted(counts)
     weight = np.array([counts[c] for c in codes], float)
-    given = np.array([[c // 3**j % 3 for j in range(labellers)] for c in codes]).reshape(len(codes), labellers)
-    right = np.full((labellers, 2), 0.8)
-    prior = 0.7
-    post = np.full(len(codes), 0.5)
+    given = np.array([[c // 3**j % 3 for j in range(len(bounds))] for c in codes], int).reshape(len(codes), len(bounds))
+    shares = np.ones((len(bounds), 2, 3))
+    shares[:, GOOD, BAD], shares[:, BAD, BAD] = bounds, 0.5
+    shares[:, :, GOOD] = 1 - shares[:, :, BAD]
+    prior, post = 0.8, np.full(len(codes), 0.5)
     for _ in range(rounds if codes else 0):
-        lg, lb = np.full(len(codes), math.log(prior)), np.full(len(codes), math.log(1 - prior))
-        for j in range(labellers):
-            lg += np.where(given[:, j] == GOOD, math.log(right[j, 1]), np.where(given[:, j] == BAD, math.log(1 - right[j, 1]), 0))
-            lb += np.where(given[:, j] == BAD, math.log(right[j, 0]), np.where(given[:, j] == GOOD, math.log(1 - right[j, 0]), 0))
-        post = 1 / (1 + np.exp(np.clip(lb - lg, -700, 700)))
+        log = np.log(shares)
+        good, bad = (math.log(p) + sum(log[j, t][given[:, j]] for j in range(len(bounds))) for p, t in ((prior, GOOD), (1 - prior, BAD)))
+        post = 1 / (1 + np.exp(np.clip(bad - good, -700, 700)))
         prior = float(np.clip((weight * post).sum() / weight.sum(), 0.02, 0.98))
-        for j in range(labellers):
-            for truth, share, vote in ((1, weight * post, GOOD), (0, weight * (1 - post), BAD)):
-                voted = share[given[:, j] != NONE].sum()
-                hit = share[given[:, j] == vote].sum()
-                right[j, truth] = np.clip((hit + 8) / (voted + 10), 0.05 if truth == 0 else 0.55, 0.999)
-    return right, prior, dict(zip(codes, post.tolist()))
+        for truth, mass in ((GOOD, weight * post), (BAD, weight * (1 - post))):
+            for j, most in enumerate(bounds):
+                found = np.bincount(given[:, j], mass, minlength=3)[:2] + 0.5
+                share = found[BAD] / found.sum()
+                share = min(share, most) if truth == GOOD else share
+                shares[j, truth, BAD], shares[j, truth, GOOD] = share, 1 - share
+    return shares, prior, dict(zip(codes, post.tolist()))
+
+
+def accuracies(shares: np.ndarray, prior: float) -> np.ndarray:
+    """How often each labeller is right when it votes."""
+    right = prior * shares[:, GOOD, GOOD] + (1 - prior) * shares[:, BAD, BAD]
+    wrong = prior * shares[:, GOOD, BAD] + (1 - prior) * shares[:, BAD, GOOD]
+    return right / (right + wrong)
 
 
 _SHAPES = [(re.compile(rb"[A-Z]+"), b"A"), (re.compile(rb"[a-z\x80-\xff]+"), b"a"), (re.compile(rb"[0-9]+"), b"0")]
