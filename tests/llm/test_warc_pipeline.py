@@ -1,0 +1,106 @@
+import base64
+import gzip
+import hashlib
+import importlib
+
+import pytest
+from pyspark.sql import functions as F
+
+from sediment.llm import packing, warc
+from sediment.session import scratch_path
+from tests.llm.test_minhash import brute
+
+PAGES = "page_id long, url string, html string"
+
+
+@pytest.fixture(scope="module")
+def pages(spark):
+    rows = [(i, f"https://host{i % 3}.example/p/{i}", f"<html>page {i}\r\n\r\nWARC/1.1\r\n\r\n é {'x' * i}</html>") for i in range(50)]
+    rows += [(100 + i, "https://mirror.example/", rows[0][2]) for i in range(30)]
+    rows += [(200, None, None), (201, "a b\r\nc", ""), (202, "u", "big" * 400_000), (None, "n", "null id"), (203, "n", "null id")]
+    return spark.createDataFrame(rows, PAGES).repartition(6)
+
+
+def test_round_trip_against_brute_force(pages):
+    rows = pages.collect()
+    first = {}
+    for r in rows:
+        body = (r["html"] or "").encode()
+        first[body] = min(first.get(body, (1 << 62, None)), (-1 if r["page_id"] is None else r["page_id"], r["page_id"]))
+    got = {r["page_id"]: r for r in warc.round_trip(pages).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        body = (r["html"] or "").encode()
+        g = got[r["page_id"]]
+        assert g["payload_bytes"] == len(body) and g["payload_digest"] == base64.b32encode(hashlib.sha1(body).digest()).decode()
+        own = first[body][1] == r["page_id"]
+        assert g["record_type"] == ("response" if own else "revisit") and g["digest_ok"] in (True, None)
+        assert g["refers_to"] == (None if own else first[body][1])
+
+
+def test_smaller_payloads_are_all_responses(spark):
+    df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], PAGES)
+    kinds = {r["page_id"]: r["record_type"] for r in warc.round_trip(df, smallest=4).collect()}
+    assert kinds == {1: "response", 2: "response", 3: "response", 4: "revisit"}
+
+
+def test_captures_are_nested_and_whole(spark, pages):
+    path = scratch_path(spark, "test-warc")
+    warc.write_archives(pages, path)
+    captures = warc.assemble(warc.read_archives(spark, path))
+    rows = captures.collect()
+    assert len(rows) == pages.count()
+    assert all(len(r["requests"]) == len(r["metadata"]) == 1 for r in rows)
+    bodies = {bytes(r["response"]["payload"]).decode() for r in rows if r["response"]["type"] == "response"}
+    assert bodies == {r["html"] or "" for r in pages.collect()}
+
+
+def test_parser_reads_members_and_foreign_links(spark):
+    def record(kind, rid, block, **more):
+        head = "".join(f"{k}: {v}\r\n" for k, v in more.items())
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {rid}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    info = record("warcinfo", "<i>", b"software: x")
+    reply = record("response", "<r>", b"HTTP/1.1 200 OK\r\n\r\nbody", **{"WARC-Concurrent-To": "<q>"})
+    request = record("request", "<q>", b"GET / HTTP/1.1\r\n\r\n")
+    lone = record("response", "<s>", b"HTTP/1.1 200 OK\r\n\r\n")
+    plain, packed = info + reply + request + lone, b"".join(map(gzip.compress, (info, reply, request, lone)))
+    a, b = list(warc.parse(plain)), list(warc.parse(packed))
+    assert a == b and [r[1] for r in a] == ["warcinfo", "response", "request", "response"] and a[1][-1] == b"body"
+    with pytest.raises(ValueError):
+        list(warc.parse(b"nonsense\r\n\r\n"))
+    rows = {r["record_id"]: r for r in warc.assemble(spark.createDataFrame(a, warc.FIELDS)).collect()}
+    assert len(rows["<r>"]["requests"]) == 1 and rows["<s>"]["requests"] == [] and rows["<s>"]["metadata"] == []
+
+
+def test_warc_edges(spark):
+    assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
+    same = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (1, "v", "x"), (2, "u", "x")], PAGES + ", digest int".replace(", digest int", ""))
+    rows = warc.round_trip(same).collect()
+    assert sorted((r["page_id"], r["record_type"]) for r in rows) == [(1, "response")] * 3 + [(2, "revisit")]
+    extra = same.withColumn("digest", F.lit(1)).withColumn("record_type", F.lit(2))
+    assert warc.round_trip(extra).count() == 4
+
+
+def test_pipeline_stages(spark, docs, corpus, tmp_path, clashing):
+    corpus_pipeline = importlib.import_module("corpus_pipeline")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "exact dedup", "near dedup", "mixing", "packing"]
+    kept, texts = docs, {i: t for i, t, *_ in corpus}
+    seen = []
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, "")
+        assert kept.columns == docs.columns
+        seen.append(sorted(r["doc_id"] for r in kept.select("doc_id").collect()))
+    good, unique, apart, mixed = seen
+    assert set(range(1, 60)) - {1} <= set(good) and 60 not in good and 64 not in good
+    assert len({texts[i] for i in unique}) == len(unique) and {texts[i] for i in unique} == {texts[i] for i in good}
+    assert set(apart) == {i for i, (_, c) in brute([(i, texts[i]) for i in unique]).items() if c == i}
+    assert set(mixed) == set(apart)
+    rows = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
+    assert {r["doc_id"] for r in rows} == set(apart)
+    assert len(rows) == sum(len(packing.cuts(len(packing.encoder(packing.VOCABULARY)(texts[i])) + 1, 1024)) for i in mixed)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, clashing, "").columns == clashing.columns
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
