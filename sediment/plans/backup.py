@@ -45,7 +45,7 @@ def backup(files: DataFrame, store: ChunkStore, options: BackupOptions = BackupO
     own = cut.join(fresh.select("name", "chunk_no"), ["name", "chunk_no"], "left_semi").select("hash", "data", "length")
     keyed = staged(with_keys(own).join(fresh.select("hash", "seq", "pack_id"), "hash"), "new-keys")
     if options.similarity.enabled:
-        stored = store.chunks().where("keys is not null").select("hash", "seq", "keys")
+        stored = store.signatures()
         found = best_matches(keyed.select("hash", "seq", "keys"), options.similarity, stored)
         chosen = staged(_flat(found.select("hash", "base_hash"), store.index()), "bases")
         wanted = chosen.select(F.col("base_hash").alias("hash")).distinct()
@@ -151,6 +151,15 @@ def verify(store: ChunkStore, name: str | None = None, hasher: str = "sha256") -
     return m.verify_report(chosen, checked), checked.where("error is not null")
 
 
+def get_chunks(wanted: DataFrame, store: ChunkStore, hasher: str = "sha256") -> DataFrame:
+    """hash, data, error of the wanted chunks (column hash): every read is held against its hash."""
+    asked = wanted.select("hash").distinct()
+    read = decode_chunks(asked, store.chunks()).withColumn("actual", content_hash(F.col("data"), hasher)).withColumn("found", F.lit(True))
+    met = asked.join(read, "hash", "left")
+    error = F.when(F.col("found").isNull(), "not found").when(F.col("actual").isNull(), "not readable").when(F.col("actual") != F.col("hash"), "hash mismatch")
+    return met.select("hash", F.when(error.isNull(), F.col("data")).alias("data"), error.alias("error"))
+
+
 def delete_file(store: ChunkStore, name: str) -> None:
     """Forget a manifest; its chunks become orphans if nothing else lists them."""
     row = store.manifests().where(F.col("name") == name)

@@ -14,7 +14,7 @@ from sediment.config import FINE, TEXT, BackupOptions, ChunkConfig, SimilarityCo
 from sediment.functions import codec, features
 from sediment.operators import dedup, manifest, similarity
 from sediment.operators.chunking import cdc_chunks, fixed_chunks, hashed
-from sediment.session import scratch_path, staged
+from sediment.session import row_numbers, scratch_path, staged
 from sediment.sources.files import from_table
 from sediment.sources.store import ChunkStore
 
@@ -141,20 +141,31 @@ def index_cardinality(spark, sf_dir):
     return refs.agg(F.sum("n").alias("chunks"), F.count("*").alias("distinct_chunks"))
 
 
-@query(_sql(LARGE) + """, f AS (SELECT hash, min((doc_id, chunk_no)) AS k, any_value(length) AS length FROM c GROUP BY hash),
+PACK_SQL = _sql(LARGE) + """, f AS (SELECT hash, min((doc_id, chunk_no)) AS k, any_value(length) AS length FROM c GROUP BY hash),
 g AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS place FROM f),
 r AS (SELECT place // 64 AS run, sum(length) AS b FROM g GROUP BY 1),
 p AS (SELECT run, CAST(coalesce(sum(b) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 1048576 AS BIGINT) AS pack_id FROM r)
-SELECT pack_id, count(*) AS chunks, CAST(sum(length) AS BIGINT) AS bytes FROM g JOIN p ON g.place // 64 = p.run GROUP BY pack_id""")
-def pack_assignment(spark, sf_dir):
-    from sediment.session import row_numbers
+"""
 
+
+def _packs(spark, sf_dir) -> DataFrame:
+    """pack_id, hash, length: first occurrences in packs of about 1 MiB, by running size of runs of 64."""
     firsts = dedup.first_occurrences(_chunks(spark, sf_dir, LARGE), ["doc_id", "chunk_no"], ["length"])
     placed, _ = row_numbers(firsts, ["doc_id", "chunk_no"], "place", "pack-places")
     runs = placed.groupBy(F.expr("place div 64").alias("run")).agg(F.sum("length").alias("b"))
     upto = F.sum("b").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
-    packs = runs.select("run", F.expr("1").alias("one"), F.floor(F.coalesce(upto, F.lit(0)) / F.lit(1 << 20)).cast("long").alias("pack_id"))
-    return placed.withColumn("run", F.expr("place div 64")).join(packs, "run").groupBy("pack_id").agg(F.count("*").alias("chunks"), F.sum(F.col("length").cast("long")).alias("bytes"))
+    packs = runs.select("run", F.floor(F.coalesce(upto, F.lit(0)) / F.lit(1 << 20)).cast("long").alias("pack_id"))
+    return placed.withColumn("run", F.expr("place div 64")).join(packs, "run").select("pack_id", "hash", "length")
+
+
+@query(PACK_SQL + "SELECT pack_id, count(*) AS chunks, CAST(sum(length) AS BIGINT) AS bytes FROM g JOIN p ON g.place // 64 = p.run GROUP BY pack_id")
+def pack_assignment(spark, sf_dir):
+    return _packs(spark, sf_dir).groupBy("pack_id").agg(F.count("*").alias("chunks"), F.sum(F.col("length").cast("long")).alias("bytes"))
+
+
+@query(PACK_SQL + "SELECT pack_id, sha256(string_agg(hash, '' ORDER BY hash)) AS checksum FROM g JOIN p ON g.place // 64 = p.run GROUP BY pack_id")
+def pack_checksums(spark, sf_dir):
+    return _packs(spark, sf_dir).groupBy("pack_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("hash")), ""), 256).alias("checksum"))
 
 
 # manifests, restore, verify

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,23 @@ class ChunkStore:
         """hash and place of every chunk, without payloads."""
         return self.chunks().select("hash", "pack_id", "entry_type", "base_hash", "orig_length", "stored_length", "seq")
 
+    def cached_index(self) -> DataFrame:
+        """The index on executors' disks, for sessions that probe it often."""
+        return self.index().persist(StorageLevel.DISK_ONLY)
+
+    def hashes(self) -> DataFrame:
+        return self.chunks().select("hash").distinct()
+
+    def signatures(self) -> DataFrame:
+        """What the similarity search needs of stored chunks; rebuilding its index is this scan."""
+        return self.chunks().where("keys is not null").select("hash", "seq", "keys")
+
+    def contains(self, chunk: str) -> bool:
+        return self.chunks().where(F.col("hash") == chunk.lower()).limit(1).count() > 0
+
+    def has_file(self, name: str) -> bool:
+        return self.manifests().where(F.col("name") == name).limit(1).count() > 0
+
     def history(self) -> DataFrame:
         return self._read("manifests", f"{MANIFESTS}, {DELETED}")
 
@@ -81,3 +99,8 @@ def import_manifests(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("multiLine", "true").json(path)
     name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.manifest)?$", 1)
     return rows.select(name.alias("name"), "path", F.col("size").cast("long").alias("size"), F.col("modified").cast("long").alias("modified"), F.col("permissions").cast("int").alias("permissions"), "chunk_hashes", F.lit("imported").alias("ingest_id"))
+
+
+def export_manifests(manifests: DataFrame, path: str) -> None:
+    """Manifests as JSON lines."""
+    manifests.select("name", "path", "size", "modified", "permissions", "chunk_hashes").write.json(path)

@@ -11,7 +11,7 @@ from sediment.operators.chunking import cdc_chunks, fixed_chunks
 from sediment.operators.restore import decode_chunks
 from sediment.plans import backup as b
 from sediment.schemas import CHUNK_STORE, FILES
-from sediment.sources.store import ChunkStore, import_manifests
+from sediment.sources.store import ChunkStore, export_manifests, import_manifests
 from sediment.streaming.ingest import ingest_stream, watch_files
 
 OPTIONS = BackupOptions(chunks=FINE)
@@ -79,6 +79,19 @@ def test_verify_info_list(filled):
         b.restored(held, "nothing")
 
 
+def test_reads_by_hash(spark, filled, tmp_path):
+    held, _ = filled
+    some = held.hashes().orderBy("hash").limit(3).collect()
+    wanted = spark.createDataFrame([(r["hash"],) for r in some] + [("00" * 32,)], "hash string")
+    got = {r["hash"]: r for r in b.get_chunks(wanted, held).collect()}
+    assert got["00" * 32]["error"] == "not found" and sum(r["error"] is None for r in got.values()) == 3
+    assert held.contains(some[0]["hash"].upper()) and not held.contains("00" * 32)
+    assert held.has_file("a.txt") and not held.has_file("b.txt")
+    assert held.signatures().count() <= held.cached_index().count() == held.chunks().count()
+    export_manifests(held.manifests(), str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 7
+
+
 def test_write_out(filled, tmp_path):
     held, _ = filled
     assert b.restore(held, str(tmp_path)) == 7
