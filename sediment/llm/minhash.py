@@ -7,17 +7,19 @@ maxima of the parts' registers, so sketches merge. Bands of registers put texts
 into buckets; in each bucket texts are paired with the bucket's least id (a star,
 never all pairs). Pairs pass on if the joint likelihood of their registers at the
 known set sizes peaks near the threshold, and are confirmed by exact set overlap.
-Confirmed links join texts to components. Buckets that still hold several
-components then pair the members of different components, so that a link whose
-ends both missed the star's centre is found as well.
+Confirmed links join texts to components. Texts of buckets that still hold several
+components meet once more, so that a link whose ends both missed the star's centre
+is found as well: two sets that are linked share one of the rarest quarter of
+their shingles, and where the first shared one stands in the order of rarity bounds
+how much they can share, so only texts of different components that pass are paired.
 
 Equal sets are collapsed before all this: one representative per set goes on.
 
 Defined results: words are split at ASCII white space after A-Z are lowered; a text
 of one to four words is one shingle; a text without words (or null) has an empty
-set and links with nothing; rows that share an id are one node, of the set that
-comes first by digest; a null id takes part as the least id. Shingles are compared by 64-bit hashes, so
-two different shingles of a pair are taken as equal with a chance of 5e-20.
+set and links with nothing; rows that share an id are one node, linked with what
+any of them links with; a null id takes part as the least id. Shingles are compared
+by 64-bit hashes: two different ones are taken as equal with a chance of 5e-20.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: Pairs whose likelihood peaks below this aren't verified (6 deviations from 0.75).
 LEAST_ESTIMATE = 0.5
 WORDS_KEPT = 200_000
+#: Counters of shingle frequency. They only order shingles, so collisions cost candidates, not links.
+COUNTERS = 1 << 18
 
 _seeds = np.random.RandomState(20240607)
 XORS = _seeds.randint(0, 1 << 63, REGISTERS, dtype=np.int64).astype(np.uint64)
@@ -156,17 +160,63 @@ def _confirmed(percent: int):
     return run
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, percent: int, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, reps: DataFrame, pool: DataFrame, percent: int, name: str) -> DataFrame:
     """Those of the pairs (a < b) that are links: by likelihood first, then by their full sets."""
     r = reps.select("rep", "n", "regs")
     both = pairs.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
     likely = staged(both.mapInArrow(_likely, "a long, b long"), f"{name}-likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    known = staged(texts.join(ids, "rep", "left_semi"), f"{name}-texts")
-    met = likely.join(known.toDF("a", "ta"), "a").join(known.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    met = likely.join(pool.toDF("a", "ta"), "a").join(pool.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     return staged(met.mapInArrow(_confirmed(percent), "a long, b long"), f"{name}-links")
 
 
+def _slot(found: np.ndarray) -> np.ndarray:
+    return (found >> np.uint64(40)).astype(np.int64) % COUNTERS
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for text in batch.column(0):
+            counts += np.bincount(_slot(shingles(text.as_py(), words)), minlength=COUNTERS)
+    used = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["slot", "count"])
+
+
+def _rarest(counts: np.ndarray, percent: int):
+    """Of each text's set the rarest shingles, one more than a linked set can lack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHashes()
+        for batch in batches:
+            for rep, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                s = shingles(text.as_py(), words)
+                order = np.lexsort((s, counts[_slot(s)]))
+                tokens = s[order[: len(s) - -(-percent * len(s) // 100) + 1]].astype(np.int64)
+                n = len(tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, component)), pa.array(np.full(n, len(s))), pa.array(np.arange(n)), pa.array(tokens)], names=["rep", "component", "n", "place", "token"])
+
+    return run
+
+
+def _across(mixed: DataFrame, pool: DataFrame, star: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a < b) of different components that may be linked by their rarest shingles; ``mixed``: rep, component."""
+    texts = staged(mixed.join(pool, "rep").select("rep", "component", "text"), "mixed-texts")
+    per_task = texts.select("text").mapInArrow(_frequencies, "slot long, count long")
+    counts = np.zeros(COUNTERS, np.int64)
+    found = per_task.groupBy("slot").agg(F.sum("count").alias("count")).toArrow()  # at most COUNTERS rows
+    counts[found["slot"].to_numpy()] = found["count"].to_numpy()
+    tokens = staged(texts.mapInArrow(_rarest(counts, percent), "rep long, component long, n long, place long, token long"), "rare-shingles")
+    # a shingle of one component only pairs nothing
+    shared = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
+    left = staged(tokens.join(shared, "token", "left_semi"), "shared-shingles")
+    x, y = left.select("token", "rep", "component", "n", "place").toDF("token", "a", "ca", "na", "pa"), left.select("token", "rep", "component", "n", "place").toDF("token", "b", "cb", "nb", "pb")
+    # at the first shingle that two sets share, what follows in the shorter rest bounds their overlap
+    enough = (100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb"))
+    fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & enough
+    pairs = x.join(y, "token").where(fits).select("a", "b").distinct()
+    return pairs.join(star, ["a", "b"], "left_anti")
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(rep, component): the least id reachable, for the ends of the links.
 
@@ -199,18 +249,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     placed = reps.select("rep", F.explode(bands).alias("x")).select("rep", "x.band", "x.key")
     shared = placed.groupBy("band", "key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = staged(placed.join(shared.hint("merge"), ["band", "key"]), "bucket-members")
+    pool = staged(texts.join(members.select("rep").distinct(), "rep", "left_semi"), "bucket-texts")
     star = members.where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
-    links = _verified(star, reps, texts, percent, "star")
+    links = _verified(star, reps, pool, percent, "star")
     labels = components(links)
 
     # members of one bucket that the stars left in different components
     of = members.join(labels, "rep", "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("component"))
-    mixed = of.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
-    rest = staged(of.join(mixed, ["band", "key"], "left_semi"), "mixed-buckets")
-    x, y = rest.toDF("band", "key", "a", "ca"), rest.toDF("band", "key", "b", "cb")
-    cross = x.join(y, ["band", "key"]).where("ca <> cb and a < b").select("a", "b").distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti")
-    more = _verified(cross, reps, texts, percent, "cross")
+    torn = of.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band", "key")
+    mixed = staged(of.join(torn, ["band", "key"], "left_semi").select("rep", "component").distinct(), "mixed")
+    more = _verified(_across(mixed, pool, star, percent), reps, pool, percent, "cross")
     if more.limit(1).count():
         labels = components(links.union(more), "all-components")
 
