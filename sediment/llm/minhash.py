@@ -46,6 +46,8 @@ LEAST_ESTIMATE = 0.5
 WORDS_KEPT = 200_000
 #: Counters of shingle frequency. They only order shingles, so collisions cost candidates, not links.
 COUNTERS = 1 << 18
+#: Cells of ids: at most so many rows are broadcast to thin texts out before their exchange.
+CELLS = 1 << 20
 
 _seeds = np.random.RandomState(20240607)
 XORS = _seeds.randint(0, 1 << 63, REGISTERS, dtype=np.int64).astype(np.uint64)
@@ -217,6 +219,17 @@ def _across(mixed: DataFrame, pool: DataFrame, star: DataFrame, percent: int) ->
     return pairs.join(star, ["a", "b"], "left_anti")
 
 
+def _only(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the ids (both by rep). Texts whose cell holds no id never reach the exchange."""
+
+    def cell(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(CELLS)).alias("cell")
+
+    cells = staged(ids.select(cell("rep")).distinct(), "cells")
+    near = texts.join(F.broadcast(cells), cell("rep") == cells["cell"], "left_semi")
+    return near.join(ids.hint("merge"), "rep", "left_semi")
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """(rep, component): the least id reachable, for the ends of the links.
 
@@ -249,7 +262,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     placed = reps.select("rep", F.explode(bands).alias("x")).select("rep", "x.band", "x.key")
     shared = placed.groupBy("band", "key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = staged(placed.join(shared.hint("merge"), ["band", "key"]), "bucket-members")
-    pool = staged(texts.join(members.select("rep").distinct(), "rep", "left_semi"), "bucket-texts")
+    pool = staged(_only(texts, members.select("rep").distinct()), "bucket-texts")
     star = members.where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
     links = _verified(star, reps, pool, percent, "star")
     labels = components(links)
