@@ -4,8 +4,8 @@ A text's set of five-word shingles is sketched into ``REGISTERS`` truncated
 minima on an exponential scale: register i holds floor(1 - log_b x) of the least
 exponential variate x that hash i gives any shingle. Registers of a union are the
 maxima of the parts' registers, so sketches merge. Bands of registers put texts
-into buckets; in each bucket texts are paired with the bucket's least id (a star,
-never all pairs). Pairs pass on if the joint likelihood of their registers at the
+into buckets; in each bucket texts are paired with its centre, the text that shares most
+buckets with most others (a star, never all pairs). Pairs pass on if the joint likelihood of their registers at the
 known set sizes peaks near the threshold, and are confirmed by exact set overlap.
 Confirmed links join texts to components. Texts of buckets that still hold several
 components meet once more, so that a link whose ends both missed the star's centre
@@ -260,10 +260,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.substring(F.col("regs"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)).alias("key")))
     placed = reps.select("rep", F.explode(bands).alias("x")).select("rep", "x.band", "x.key")
-    shared = placed.groupBy("band", "key").agg(F.min("rep").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n")
+    shared = placed.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(placed.join(shared.hint("merge"), ["band", "key"]), "bucket-members")
     pool = staged(_only(texts, members.select("rep").distinct()), "bucket-texts")
-    star = members.where("rep > least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct()
+    # a group's most typical text shares the most buckets with the most others: it is the centre
+    weight = members.groupBy("rep").agg(F.sum("n").alias("weight"))
+    weighed = members.join(weight, "rep").select("band", "key", "rep", "weight")
+    centre = weighed.groupBy("band", "key").agg(F.max(F.struct("weight", (-F.col("rep")).alias("r"))).alias("top")).select("band", "key", (-F.col("top.r")).alias("centre"))
+    rays = members.join(centre.hint("merge"), ["band", "key"]).where("rep <> centre")
+    star = staged(rays.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct(), "star")
     links = _verified(star, reps, pool, percent, "star")
     labels = components(links)
 
