@@ -2,10 +2,11 @@
 
 Two zstandard raw-content dictionaries are trained. Both hold the same background:
 windows of ordinary text, and those ordinary windows that an earlier pair of
-dictionaries mistook. The toxic one also holds what marks toxic text: the word
-beginnings and words whose share of toxic documents exceeds their share of
-ordinary ones with the greatest likelihood ratio, found by counting documents of
-either class. A window of a text that compresses shorter with the toxic dictionary
+dictionaries mistook. The toxic one also holds windows of toxic text and what marks
+it: word beginnings and words whose share of toxic documents is a multiple of their
+share of ordinary ones, under a bound on false discoveries among all that were
+counted, whatever the number of documents; the windows are those that hold a mark,
+or any where no mark is found. A window of a text that compresses shorter with the toxic dictionary
 is evidence; the largest differences and how many windows pass two thresholds go
 through a logistic calibration fitted on labelled documents that trained neither
 dictionary, weighted to the share of toxic documents among all labels.
@@ -24,6 +25,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,11 +52,15 @@ class ToxicConfig:
     #: Windows of background, and of mistaken ones.
     background: int = 300
     mistaken: int = 300
-    #: Least documents, log ratio of shares and likelihood ratio of a mark.
-    least_docs: int = 6
-    least_lift: float = 2.0
-    least_evidence: float = 120.0
+    #: Windows of toxic text.
+    toxic_windows: int = 40
+    #: Least documents and log ratio of shares of a mark, and the share of false ones among the marks.
+    least_docs: int = 3
+    least_lift: float = 1.5
+    false_marks: float = 0.01
     same_docs: float = 0.9
+    #: Marks kept, strongest first: weaker ones, of which more labels show more, hide the others' evidence.
+    most_marks: int = 70
     #: Bytes saved that count as evidence.
     thresholds: tuple[int, int] = (3, 5)
     predicted_from: float = 0.7
@@ -67,7 +73,8 @@ def windows(text: str | None, size: int) -> list[bytes]:
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_DFAST, min_match=4, window_log=17, hash_log=14, chain_log=14, write_content_size=False, write_checksum=False, write_dict_id=False)
+    # faster strategies index every third place of a dictionary, so a mark would count by where it happens to stand
+    params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=4, search_log=4, window_log=17, hash_log=15, chain_log=15, write_content_size=False, write_checksum=False, write_dict_id=False)
     return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
 
 
@@ -128,14 +135,22 @@ def marks(toxic: list[list[bytes]], ordinary: list[list[bytes]], config: ToxicCo
         return 2 * (log(a[g], na, a[g] / na) + log(b[g], nb, b[g] / nb) - log(a[g], na, p) - log(b[g], nb, p))
 
     lifted = [g for g in a if a[g] >= config.least_docs and math.log((a[g] + 0.5) / (na + 1)) - math.log((b[g] + 0.5) / (nb + 1)) > config.least_lift]
-    strong = {g: r for g in lifted if (r := ratio(g)) >= config.least_evidence}
+    # the step-up bound over all that enough documents of either class hold, by the tails of the likelihood ratio
+    tested = sum(n + b[g] >= config.least_docs for g, n in a.items()) + sum(n >= config.least_docs for g, n in b.items() if g not in a)
+    ranked = sorted(((ratio(g), g) for g in lifted), reverse=True)
+    held = [k for k, (r, _) in enumerate(ranked, 1) if math.erfc(math.sqrt(max(r, 0) / 2)) <= config.false_marks * k / tested]
+    strong = {g: r for r, g in ranked[: max(held, default=0)]}
     # the longest way to write each mark: one that a longer mark holds in nearly all its documents adds nothing
     chosen: list[bytes] = []
     for g in sorted(strong, key=lambda g: (-len(g), -strong[g], g)):
         if not any(g in h and a[h] >= config.same_docs * a[g] for h in chosen):
             chosen.append(g)
     chosen.sort(key=lambda g: (-strong[g], g))
-    return chosen
+    return chosen[: config.most_marks]
+
+
+def _unmarked(window: bytes, holds) -> bytes:
+    return b" " + b" ".join(w for w in window.split() if not holds(b" " + w + b" ")) + b" "
 
 
 def fit(toxic: list[str], ordinary: list[str], share: float, config: ToxicConfig = ToxicConfig(), seed: int = 3) -> ToxicModel:
@@ -147,15 +162,22 @@ def fit(toxic: list[str], ordinary: list[str], share: float, config: ToxicConfig
     learn, rest = [[x for i, x in enumerate(c) if i % 3] for c in cut], [[x for i, x in enumerate(c) if not i % 3] for c in cut]
     learn = [x or y for x, y in zip(learn, rest)]
     chosen = marks(*learn, config)
-    pool = [w for doc in learn[1] for w in doc]
+    holds = re.compile(b"|".join(map(re.escape, chosen))).search if chosen else lambda w: None
+    # an ordinary document may hold a mark; in the common background it would hide that mark from every text
+    pool = [w for doc in learn[1] for w in doc if not holds(w)]
     ordinary_dict = b"".join(rng.sample(pool, min(len(pool), config.background))) + b" " * 8
-    toxic_dict = ordinary_dict + b"".join(chosen[::-1])
+    marked = [w for doc in learn[0] for w in doc if holds(w)] or [w for doc in learn[0] for w in doc]
+    marked = rng.sample(marked, min(len(marked), config.toxic_windows))
+    # their other words are in both dictionaries, so only what holds a mark makes a difference
+    ordinary_dict = b"".join(_unmarked(w, holds) for w in marked) + ordinary_dict if chosen else ordinary_dict
+    own, ends = b"".join(marked), b"".join(chosen[::-1])
+    toxic_dict = own + ordinary_dict + ends
     for _ in range(2):
         o, t = _compressor(ordinary_dict).compress, _compressor(toxic_dict).compress
-        wrong = [w for doc in learn[1][:2000] for w in doc if len(o(w)) - len(t(w)) >= config.thresholds[0]]
+        wrong = [w for doc in learn[1][:2000] for w in doc if not holds(w) and len(o(w)) - len(t(w)) >= config.thresholds[0]]
         extra = b"".join(rng.sample(wrong, min(len(wrong), config.mistaken)))
         ordinary_dict = extra + ordinary_dict
-        toxic_dict = ordinary_dict + b"".join(chosen[::-1])
+        toxic_dict = own + ordinary_dict + ends
     o, t = _compressor(ordinary_dict).compress, _compressor(toxic_dict).compress
     x = np.array([evidence([len(o(w)) - len(t(w)) for w in doc], config) for part in rest for doc in part])
     y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])

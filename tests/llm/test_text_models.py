@@ -110,3 +110,14 @@ def test_toxicity_edges(spark, empty, clashing):
     docs = spark.createDataFrame([*rows, (9001, None), (9002, ""), (9001, "again"), (9003, "x " * 50_000)], "doc_id long, text string")
     assert toxicity.score_documents(docs, known).count() == 124
     assert toxicity.score_documents(empty, known).count() == 0
+
+
+def test_toxicity_marks_do_not_wait_for_many_labels(spark):
+    rows, labels = toxic_rows(180)
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    assert model.toxic != model.ordinary and any(b" ".join(w.split()[1:4]) in model.toxic for t, (_, y) in zip(rows, labels) if y for w in toxicity.windows(t[1], 6))
+    got = [r for r in toxicity.score_documents(docs, known).collect() if r["held_out"]]
+    toxic = [r for r in got if r["doc_id"] % 6 == 0]
+    assert len(toxic) >= 5 and sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic)
+    assert sum(r["predicted"] for r in got if r["doc_id"] % 6) <= 0.05 * len(got)
