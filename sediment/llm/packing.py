@@ -11,7 +11,7 @@ A document is its ids and one end id. Longer ones than the capacity are cut from
 the back, so the first piece is the short one; full pieces are bins at once.
 
 Defined results: a null text is empty and makes one piece of the end id; rows that
-share an id are documents of their own; an empty table gives an empty result;
+share an id are documents of their own; the string of a special token is that token; an empty table gives an empty result;
 bytes that aren't UTF-8 are replaced as Python's decoder does.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import importlib
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -36,27 +37,41 @@ ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *[(c, pa.int64
 #: Pieces that a task holds at once, here and in merging rounds.
 TASK_ROWS = 1_000_000
 FAN_IN = 8
-#: The byte-level vocabulary as ranks; its ids are those of byte_bpe_50k.json.
-VOCABULARY = "public:byte_bpe_50k.tiktoken"
+#: The contract's vocabulary.
+VOCABULARY = "public:byte_bpe_50k.json"
+#: Its ranks give the same ids faster, except in texts with a special token; their pattern overflows the stack on whitespace runs of a million.
+RANKS = {"public:byte_bpe_50k.json": "byte_bpe_50k.tiktoken"}
+LONG_RUN = re.compile(r"\s{10000}")
 
 
 @lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> Callable[[str], list[int]]:
-    """``vocabulary``: a path, or ``public:NAME`` for a file of the public_tokenizers package."""
+    """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them. ``vocabulary``: a path, or ``public:NAME`` for a file of the public_tokenizers package."""
     public = importlib.import_module("public_tokenizers") if vocabulary.startswith("public:") else None
     path = public.path(vocabulary[7:]) if public else vocabulary
     if path.endswith(".tiktoken"):
-        import tiktoken
-
-        public = public or importlib.import_module("public_tokenizers")
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        return tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        return _ranked(path)
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
-    return lambda text: tok.encode(text, add_special_tokens=False).ids
+
+    def whole(text: str) -> list[int]:
+        return tok.encode(text, add_special_tokens=False).ids
+
+    if vocabulary not in RANKS:
+        return whole
+    special = re.compile("|".join(re.escape(t.content) for t in tok.get_added_tokens_decoder().values()))
+    ranked = _ranked(public.path(RANKS[vocabulary]))
+    return lambda text: whole(text) if special.search(text) or LONG_RUN.search(text) else ranked(text)
+
+
+def _ranked(path: str) -> Callable[[str], list[int]]:
+    import tiktoken
+
+    public = importlib.import_module("public_tokenizers")
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:

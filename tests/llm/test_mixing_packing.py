@@ -125,3 +125,10 @@ def test_packing_edges(spark, empty, clashing):
 @pytest.mark.parametrize("text", ["Ünïcode — “quotes” 123 don't", "a  b\n\n c\t", "日本語のテキスト 🙂", "<|endoftext|> x"])
 def test_ranks_give_the_tokenizers_ids(text):
     assert packing.encoder(packing.VOCABULARY)(text) == packing.encoder("public:byte_bpe_50k.json")(text)
+
+
+@pytest.mark.parametrize("text", ["end <|endoftext|> start", " " * 1_000_000, "a" + "\n" * 1_000_000 + "b", "x " * 300_000], ids=["special", "spaces", "newlines", "long"])
+def test_ids_are_the_tokenizers_own(text):
+    tokenizers, public = importlib.import_module("tokenizers"), importlib.import_module("public_tokenizers")
+    tok = tokenizers.Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    assert packing.encoder(packing.VOCABULARY)(text) == tok.encode(text, add_special_tokens=False).ids
