@@ -1,22 +1,27 @@
 """License notices found by conditional compression.
 
-Blocks around licence words are cut from whole texts. Each block is compressed
-alone and once more with each template as zstandard raw dictionary; templates are
-ranked by how many bytes they save. The best ones are confirmed by their wording:
-a word diff of template and block must leave no identifying word (names, versions)
-unmatched and no more than a tenth of the other words changed.
-
-Defined results: a null or empty text has no blocks; a block has one licence at
-most, the confirmed template that saves most (ties: the first by name); rows that
-share an id are scanned on their own; an empty table gives an empty result.
+Blocks around licence words are cut from whole texts, wide enough for the longest
+notice on either side of each. Spans of a block that may hold a template's wording are
+confirmed by a word diff that must leave no identifying word (names, versions)
+unmatched and no more than a tenth of the other words changed. Each confirmed span is
+compressed alone and once more with its template as zstandard raw dictionary; where
+spans overlap, the one whose template saves most bytes is the notice (ties: fewer
+changed words, then the first by name).
+
+Defined results: one row per notice, in the order of the text, over the notice alone;
+a null or empty text has none; line breaks, indents and comment signs between words
+don't count; rows that share an id are scanned on their own; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -49,27 +54,26 @@ TEMPLATES = {
     "Unlicense/notice": "This is free and unencumbered software released into the public domain.",
 }
 ANCHOR = r"(?i)licen[cs]e|copyright|redistribut|public domain|creative commons|permission|warrant"
-#: Anchors at most so many characters apart are in one block; a block reaches so far beyond its outer anchors within their lines.
-JOIN, REACH = 400, 400
-#: Templates tried for confirmation, best first, and the share of other words that may differ.
-TRIED, LOOSE = 3, 0.1
+#: A block reaches so far beyond its outer anchors: over the longest notice, indented and commented.
+REACH = 2000
+#: The share of words other than names that may differ.
+LOOSE = 0.1
 WORD = re.compile(r"[\w.+-]*\w")
 SCHEMA = "doc_id long, block int, start long, length long, license string, plain_bytes long, conditional_bytes long, saved_bytes long, missing_words long, extra_words long, exact boolean"
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
     """(start, end) of the candidate blocks."""
-    anchors = [m.span() for m in re.finditer(ANCHOR, text)]
-    k = 0
-    while k < len(anchors):
-        first = last = anchors[k]
-        while k + 1 < len(anchors) and anchors[k + 1][0] - last[1] <= JOIN and text.count("\n\n", last[1], anchors[k + 1][0]) < 2:
-            k += 1
-            last = anchors[k]
-        k += 1
-        start = max(text.rfind("\n", 0, first[0]) + 1, first[0] - REACH)
-        end = text.find("\n", last[1])
-        yield start, min(len(text) if end < 0 else end, last[1] + REACH)
+    start = end = None
+    for m in re.finditer(ANCHOR, text):
+        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+        if end is None or a > end:
+            if end is not None:
+                yield start, end
+            start = a
+        end = b
+    if end is not None:
+        yield start, end
 
 
 def _words(text: str) -> list[str]:
@@ -95,30 +99,84 @@ class Scanner:
             self.known.append((name, zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False), [w.lower() for w in words], _names(words) if len(words) < 60 else set()))
 
     def scan(self, block: str) -> tuple | None:
-        """(licence, plain, conditional, saved, missing, extra) of the confirmed winner."""
-        data = " ".join(block.split()).lower().encode()
-        alone = len(self.plain.compress(data))
-        ranked = sorted((len(c.compress(data)), k) for k, (_, c, _, _) in enumerate(self.known))
-        words = [w.lower() for w in _words(block)]
-        best = None
-        for size, k in ranked[:TRIED]:
-            name, _, wanted, names = self.known[k]
-            if size < alone and (diff := differences(wanted, words, names)):
-                if best is None or (size, sum(diff)) < (best[2], best[4] + best[5]):
-                    best = (name.partition("/")[0], alone, size, alone - size, *diff)
-        return best
-
-
-def differences(wanted: list[str], words: list[str], names: set[str]) -> tuple[int, int] | None:
-    """(missing, extra) words of the block against the template, or None if it isn't that template."""
+        """(licence, plain, conditional, saved, missing, extra) of the notice that saves most."""
+        found = self.notices(block)
+        return max(found, key=lambda x: x[5])[2:] if found else None
+
+    def notices(self, block: str) -> list[tuple]:
+        """(start, end, licence, plain, conditional, saved, missing, extra) of every notice, none over another."""
+        at = [m.span() for m in WORD.finditer(block)]
+        words = [block[a:b].lower() for a, b in at]
+        places: dict[str, list[int]] = {}
+        for k, w in enumerate(words):
+            places.setdefault(w, []).append(k)
+        found = []
+        for name, compressor, wanted, names in self.known:
+            if not names <= places.keys():
+                continue
+            for first, last, missing, extra in occurrences(wanted, words, places, names):
+                data = " ".join(block[at[first][0] : at[last - 1][1]].split()).lower().encode()
+                alone, size = len(self.plain.compress(data)), len(compressor.compress(data))
+                if size < alone:
+                    found.append((alone - size, -missing - extra, name, first, last, alone, size, missing, extra))
+        found.sort(key=lambda x: (-x[0], -x[1], x[2], x[3]))
+        taken, out = bytearray(len(words)), []
+        for saved, _, name, first, last, alone, size, missing, extra in found:
+            if not any(taken[first:last]):
+                taken[first:last] = b"\1" * (last - first)
+                out.append((at[first][0], at[last - 1][1], name.partition("/")[0], alone, size, saved, missing, extra))
+        return sorted(out)
+
+
+def _loose(wanted: list[str]) -> int:
+    return max(1 if len(wanted) > 8 else 0, int(LOOSE * len(wanted)))
+
+
+def occurrences(wanted: list[str], words: list[str], places: dict[str, list[int]], names: set[str]) -> Iterator[tuple[int, int, int, int]]:
+    """(first, last, missing, extra) of the spans of ``words`` that are the template.
+
+    The words of a span that it shares with the template lie on few neighbouring
+    diagonals (place in the text less place in the template), and all but ``loose`` of
+    the template's words are on them. Only there are words compared in order.
+    """
+    n, loose = len(wanted), _loose(wanted)
+    on = [np.array(places[w]) - i for i, w in enumerate(wanted) if w in places]
+    if len(on) < n - loose:
+        return
+    counts = np.bincount(np.concatenate(on) + n, minlength=len(words) + 2 * n)
+    summed = np.concatenate([[0], np.cumsum(counts)])
+    width = 2 * loose + 1  # diagonals of one span lie at most missing + extra apart
+    near = summed[width:] - summed[:-width]
+    need, done = Counter(wanted), -1
+    for low in np.flatnonzero(near >= n - loose).tolist():
+        if low < done:
+            continue
+        a, b = max(0, low - n - loose), min(len(words), low + 2 * width)
+        if (need & Counter(words[a:b])).total() < n - loose:
+            continue
+        if span := differences(wanted, words[a:b], names):
+            # the place of the first diagonal may have cut it short
+            a, b = max(0, a + span[0] - width), min(len(words), a + span[1] + width)
+            first, last, missing, extra = differences(wanted, words[a:b], names) or span
+            yield a + first, a + last, missing, extra
+            done = a + last + n - loose  # the first diagonal of a span behind this one
+
+
+def differences(wanted: list[str], words: list[str], names: set[str]) -> tuple[int, int, int, int] | None:
+    """(first, last, missing, extra) of the template in ``words``, with fewest differences, or None if it isn't there."""
     match = [m for m in difflib.SequenceMatcher(None, wanted, words, autojunk=False).get_matching_blocks() if m.size]
-    if not match:
-        return None
-    held = {wanted[i] for m in match for i in range(m.a, m.a + m.size)}
-    missing = len(wanted) - sum(m.size for m in match)
-    extra = match[-1].b + match[-1].size - match[0].b - sum(m.size for m in match)
-    loose = max(1 if len(wanted) > 8 else 0, int(LOOSE * len(wanted)))
-    return (missing, extra) if names <= held and missing <= loose and extra <= loose else None
+    n, loose, best = len(wanted), _loose(wanted), None
+    for x in range(len(match)):
+        held, shared = set(), 0
+        for m in match[x:]:
+            held.update(wanted[m.a : m.a + m.size])
+            shared += m.size
+            missing, extra = n - shared, m.b + m.size - match[x].b - shared
+            if extra > loose:
+                break
+            if missing <= loose and names <= held and (best is None or missing + extra < best[2] + best[3]):
+                best = match[x].b, m.b + m.size, missing, extra
+    return best
 
 
 def _run(templates: dict[str, str]):
@@ -132,15 +190,14 @@ def _run(templates: dict[str, str]):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 text = text.as_py().decode("utf-8", "replace")
                 for k, (start, end) in enumerate(blocks(text)):
-                    if found := scanner.scan(text[start:end]):
-                        name, alone, size, saved, missing, extra = found
-                        rows.append((doc_id, k, start, end - start, name, alone, size, saved, missing, extra, not missing and not extra))
+                    for first, last, name, alone, size, saved, missing, extra in scanner.notices(text[start:end]):
+                        rows.append((doc_id, k, start + first, last - first, name, alone, size, saved, missing, extra, not missing and not extra))
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * len(kinds), kinds)], schema=schema)
 
     return run
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per confirmed block; only texts with a licence word leave the JVM."""
+    """One row per notice; only texts with a licence word leave the JVM."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(ANCHOR))
     return narrow.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_run(templates), SCHEMA)

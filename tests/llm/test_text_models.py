@@ -1,4 +1,5 @@
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -121,3 +122,17 @@ def test_toxicity_marks_do_not_wait_for_many_labels(spark):
     toxic = [r for r in got if r["doc_id"] % 6 == 0]
     assert len(toxic) >= 5 and sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic)
     assert sum(r["predicted"] for r in got if r["doc_id"] % 6) <= 0.05 * len(got)
+
+
+def licences(text: str) -> list[str]:
+    return [x[2] for a, b in license_scan.blocks(text) for x in license_scan.Scanner().notices(text[a:b])]
+
+
+def test_every_notice_of_a_block_is_a_row(spark):
+    t = license_scan.TEMPLATES
+    text = "\n".join(["Licensed under the Apache License, Version 2.0.", "Released under the MIT License.", t["GPL-2.0/notice"], t["GPL-3.0/notice"], t["MIT/full"], "see the license. " * 40, "Released under the MIT License.", t["Apache-2.0/header"]])
+    rows = license_scan.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("start").collect()
+    assert [r["license"] for r in rows] == ["Apache-2.0", "MIT", "GPL-2.0", "GPL-3.0", "MIT", "MIT", "Apache-2.0"]
+    assert all(r["exact"] for r in rows) and text[rows[1]["start"] :][: rows[1]["length"]] == "Released under the MIT License"
+    assert licences("\n".join(t.values())) == [k.partition("/")[0] for k in t]
+    assert licences(("Released under the MIT License. " + "words of prose " * 3) * 300) == ["MIT"] * 300
