@@ -53,7 +53,7 @@ TEMPLATES = {
     "CC0-1.0/notice": "This work is dedicated to the public domain under CC0 1.0 Universal.",
     "Unlicense/notice": "This is free and unencumbered software released into the public domain.",
 }
-ANCHOR = r"(?i)licen[cs]e|copyright|redistribut|public domain|creative commons|permission|warrant"
+ANCHOR = r"(?i)licen[cs]e|copyright|redistribut|public\W+domain|creative\W+commons|permission|warrant"
 #: A block reaches so far beyond its outer anchors: over the longest notice, indented and commented.
 REACH = 2000
 #: The share of words other than names that may differ.

@@ -136,3 +136,12 @@ def test_every_notice_of_a_block_is_a_row(spark):
     assert all(r["exact"] for r in rows) and text[rows[1]["start"] :][: rows[1]["length"]] == "Released under the MIT License"
     assert licences("\n".join(t.values())) == [k.partition("/")[0] for k in t]
     assert licences(("Released under the MIT License. " + "words of prose " * 3) * 300) == ["MIT"] * 300
+
+
+@pytest.mark.parametrize("width", [20, 30, 50])
+@pytest.mark.parametrize("sign", ["", "# ", " * ", "// "])
+def test_wrapped_notices_are_found(width, sign):
+    for name, text in license_scan.TEMPLATES.items():
+        wrapped = "\n".join(sign + x for x in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+        assert licences(f"{sign}Some file of ours\n{sign}\n{wrapped}\n\nimport os\n") == [name.partition("/")[0]], name
+    assert licences("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.") == ["MPL-2.0"]
