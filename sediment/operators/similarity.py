@@ -9,6 +9,7 @@ by going through each connected set of buckets in order.
 
 from __future__ import annotations
 
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -71,34 +72,37 @@ def sequential_matches(chunks: DataFrame, shards: int = 4, config: SimilarityCon
     most, room = config.candidates_per_bucket, max(1, budget // shards)
 
     def run(groups: pd.DataFrame) -> pd.DataFrame:
-        index: dict[tuple, list[str]] = {}
+        index: dict[tuple, dict[str, None]] = {}  # buckets in order of arrival, live bases only
         live: dict[str, list[tuple]] = {}
         rows = []
         for r in groups.sort_values("seq").itertuples():
             slots = [(k["tier"], k["slot"], k["sf"]) for k in r.keys]
-            found = _lookup(slots, index, live, most)
+            found = _lookup(slots, index, most)
             if found and config.enabled and found[1] >= config.least_tier:
                 live[found[0]] = live.pop(found[0])  # touched
                 rows.append((r.hash, *found))
                 continue
             while len(live) >= room:
-                live.pop(next(iter(live)))
+                oldest = next(iter(live))
+                for s in live.pop(oldest):
+                    index[s].pop(oldest, None)
+                    if not index[s]:
+                        del index[s]
             live[r.hash] = slots
             for s in slots:
-                index.setdefault(s, []).append(r.hash)
+                index.setdefault(s, {})[r.hash] = None
         return pd.DataFrame(rows, columns=["hash", "base_hash", "tier", "matches"])
 
     return chunks.where("keys is not null").select("hash", "seq", "keys", shard.alias("shard")).groupBy("shard").applyInPandas(run, "hash string, base_hash string, tier int, matches int")
 
 
-def _lookup(slots: list[tuple], index: dict, live: dict, most: int) -> tuple[str, int, int] | None:
+def _lookup(slots: list[tuple], index: dict, most: int) -> tuple[str, int, int] | None:
     for tier in (3, 2, 1):
         counts: dict[str, int] = {}
         for s in slots:
             if s[0] == tier:
-                for h in index.get(s, [])[:most]:
-                    if h in live:
-                        counts[h] = counts.get(h, 0) + 1
+                for h in islice(index.get(s, ()), most):
+                    counts[h] = counts.get(h, 0) + 1
         if counts:
             top = max(counts, key=counts.__getitem__)  # the first of equals
             return top, tier, counts[top]

@@ -228,6 +228,14 @@ def test_bucket_cap_and_sequential_rule(spark):
     assert similarity.sequential_matches(other, budget=20).count() == 0 and similarity.sequential_matches(other, budget=400).count() == 1
 
 
+def test_evicted_bases_leave_their_buckets(spark):
+    schema = "hash string, seq long, keys array<struct<tier:int,slot:int,sf:bigint>>"
+    # room for one base: each of six chunks of a bucket is evicted by one of another before the next comes
+    rows = [(f"00{i:02d}", i, keys((3, 0, i if i % 2 else 1000))) for i in range(11)] + [("00ff", 11, keys((3, 0, 1000)))]
+    found = similarity.sequential_matches(spark.createDataFrame(rows, schema), budget=4).collect()
+    assert [(r["hash"], r["base_hash"]) for r in found] == [("00ff", "0010")]
+
+
 def test_json_manifests(spark, tmp_path):
     (tmp_path / "a.txt.manifest").write_text('{\n "path": "/x/a.txt", "size": 3, "modified": "17", "permissions": 420,\n "chunk_hashes": ["aa", "bb"]\n}')
     r = import_manifests(spark, str(tmp_path)).first()
