@@ -59,6 +59,26 @@ def test_mixing_edges(spark, empty, clashing, docs):
         mixture(docs, weights=dict.fromkeys(["", "s0", "s1", "s2", "s3"], 0.0))
 
 
+def test_any_number_of_sources(spark):
+    df = spark.range(2500).selectExpr("id doc_id", "case when id < 1200 then concat('s', id) else 'big' end source")
+    rows = mixture(df, block_rows=4)
+    assert {r[0] for r in rows} == set(range(2500)) and Counter(r[2] for r in rows)[0] == 2500
+    assert sorted({r[4] for r in rows}) == list(range(max(r[4] for r in rows) + 1))
+
+
+def test_long_mixtures_hold_the_exact_weights(spark):
+    weights = {"a": 0.6786, "b": 0.32, "c": 0.0014}
+    df = spark.createDataFrame([(i, "c" if i < 8 else "ab"[i % 2]) for i in range(600)], "doc_id long, source string")
+    rows = mixture(df, weights=weights, block_rows=1)
+    assert len({r[4] for r in rows}) == len(rows) == max(r[4] for r in rows) + 1 > 5000 and {r[0] for r in rows} == set(range(600))
+    done = Counter()
+    for t, r in enumerate(sorted(rows, key=lambda r: r[4])):
+        done[r[1]] += 1
+        assert all(abs(done[s] - (t + 1) * w) < 1.001 for s, w in weights.items())
+    placed, _ = mixing.mix(df, weights=weights, block_rows=1)
+    assert not any(x in placed._jdf.queryExecution().toString() for x in ("Python", "Pandas", "MapInArrow"))
+
+
 def test_mixing_is_native(spark, docs):
     placed, _ = mixing.mix(docs)
     plan = placed._jdf.queryExecution().toString()
