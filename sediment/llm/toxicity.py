@@ -1,15 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard raw-content dictionaries are trained. Both hold the same background:
-windows of ordinary text, and those ordinary windows that an earlier pair of
-dictionaries mistook. The toxic one also holds windows of toxic text and what marks
-it: word beginnings and words whose share of toxic documents is a multiple of their
-share of ordinary ones, under a bound on false discoveries among all that were
-counted, whatever the number of documents; the windows are those that hold a mark,
-or any where no mark is found. A window of a text that compresses shorter with the toxic dictionary
-is evidence; the largest differences and how many windows pass two thresholds go
-through a logistic calibration fitted on labelled documents that trained neither
-dictionary, weighted to the share of toxic documents among all labels.
+Separate zstandard raw-content dictionaries are trained on toxic and on ordinary
+text, as ``pairs`` pairs of equal size. Training texts of either class are dealt into
+as many folds; a pair holds whole windows of its fold's toxic texts in one
+dictionary and of its fold's ordinary texts in the other, behind a background of ordinary
+windows that both share. Which windows stand there is found by compression alone:
+the windows of a fold are ranked by how many bytes the other folds' pairs save on
+them (the second least of those savings, so that what only one other fold holds,
+such as a copy, doesn't count), those saved most enter the next round's pairs, and of ordinary
+text those that were wrongly saved.
+
+A window of a text is compressed with each pair; what it saves is the mean over the
+pairs without the third that save most. Windows on which the first pair saves
+nothing, or the first two less than two bytes, count as nothing saved. The largest
+savings of a text and how many and which share of its windows save a byte or more go
+through a logistic calibration, fitted on labelled documents that trained no
+dictionary and weighted to the share of toxic documents among all labels.
 
 Labels, language, source and id never enter a score. Training uses a bounded
 sample of labelled rows (``ToxicConfig``); scoring reads whole texts.
@@ -17,16 +23,15 @@ sample of labelled rows (``ToxicConfig``); scoring reads whole texts.
 Defined results: a null or empty text has one empty window and gets the score of
 no evidence; without labelled rows of both classes every score is the share of
 toxic rows among the labels (0 without labels); rows that share an id are scored
-on their own; a label that is null is no label; an empty table gives an empty
-result.
+on their own, and the least of their texts trains; a document with several labels is
+toxic if one of them says so; a label that is null is no label; texts of any length
+are scored whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import math
 import random
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,30 +44,29 @@ from pyspark.sql import functions as F
 from sediment.session import staged
 
 TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Windows that are compressed together, one dictionary after the other.
+BATCH_WINDOWS = 4096
 
 
 @dataclass(frozen=True)
 class ToxicConfig:
-    #: Labelled rows that train: those least by a hash of their ids, of either class; longer texts don't train.
+    #: Labelled rows that train: those least by a hash of their ids, of either class; longer texts (in bytes) don't train.
     toxic_sample: int = 2400
     ordinary_sample: int = 6000
-    longest_training_text: int = 200_000
+    longest_training_text: int = 32_000
     #: Words in a window.
     window: int = 6
-    #: Windows of background, and of mistaken ones.
-    background: int = 300
-    mistaken: int = 300
-    #: Windows of toxic text.
-    toxic_windows: int = 40
-    #: Least documents and log ratio of shares of a mark, and the share of false ones among the marks.
-    least_docs: int = 3
-    least_lift: float = 1.5
-    false_marks: float = 0.01
-    same_docs: float = 0.9
-    #: Marks kept, strongest first: weaker ones, of which more labels show more, hide the others' evidence.
-    most_marks: int = 70
-    #: Bytes saved that count as evidence.
-    thresholds: tuple[int, int] = (3, 5)
+    #: Pairs of dictionaries, fewer where a fold would have less toxic texts than this.
+    pairs: int = 5
+    fold_texts: int = 4
+    #: Windows of a fold that are ranked.
+    fold_windows: int = 6000
+    #: Bytes of the shared background, and of a dictionary's own windows.
+    background: int = 60_000
+    own: int = 16_000
+    #: Rounds of ranking, and bytes saved from which a toxic window stays.
+    rounds: int = 2
+    least_saved: int = 2
     predicted_from: float = 0.7
 
 
@@ -71,117 +75,124 @@ def windows(text: str | None, size: int) -> list[bytes]:
     return [b" " + b" ".join(words[i : i + size]) + b" " for i in range(0, len(words), size)] or [b" "]
 
 
-def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+def _compressor(dictionary: bytes):
     held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    # faster strategies index every third place of a dictionary, so a mark would count by where it happens to stand
+    # faster strategies index every third place of a dictionary, so a match would count by where it happens to stand
     params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=4, search_log=4, window_log=17, hash_log=15, chain_log=15, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return zstandard.ZstdCompressor(dict_data=held, compression_params=params)
+    return zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress
+
+
+def _saved(cut: list[bytes], toxic, ordinary) -> np.ndarray:
+    """Bytes that the toxic dictionary saves on each window."""
+    return np.fromiter(map(len, map(ordinary, cut)), np.int64, len(cut)) - np.fromiter(map(len, map(toxic, cut)), np.int64, len(cut))
+
+
+def savings(cut: list[bytes], pairs: list[tuple]) -> np.ndarray:
+    """What each window saves over all pairs of compressors."""
+    left, found = np.arange(len(cut)), np.empty((len(cut), 0))
+    for k, pair in enumerate(pairs):
+        found = np.column_stack([found, _saved([cut[i] for i in left], *pair)])
+        if k < 2:
+            able = found.sum(1) > k
+            left, found = left[able], found[able]
+    out = np.zeros(len(cut))
+    out[left] = np.sort(found, axis=1)[:, : -(-2 * len(pairs) // 3)].mean(1)
+    return out
+
+
+def evidence(saved: np.ndarray) -> list[float]:
+    top = [max(0.0, x) for x in np.sort(saved)[:-4:-1].tolist()] + [0.0, 0.0]
+    counts = [int((saved >= least).sum()) for least in (1, 2, 3, 5)]
+    n = len(saved)
+    return [*top[:3], *map(math.log1p, counts), *(20 * c / max(n, 20) for c in counts[1:3]), math.log(n + 1), 1.0]
 
 
 @dataclass(frozen=True)
 class ToxicModel:
-    toxic: bytes
-    ordinary: bytes
+    #: (toxic, ordinary) dictionaries.
+    pairs: tuple[tuple[bytes, bytes], ...]
     weights: tuple[float, ...]
     center: tuple[float, ...]
     scale: tuple[float, ...]
     config: ToxicConfig
 
     def scorer(self):
-        """A function from text to score."""
-        t, o = (_compressor(d).compress for d in (self.toxic, self.ordinary)) if self.toxic else (None, None)
+        """A function from texts to their scores."""
+        pairs = [(_compressor(t), _compressor(o)) for t, o in self.pairs]
         w, c, s = (np.array(x) for x in (self.weights, self.center, self.scale))
 
-        def score(text: str | None) -> float:
-            if t is None:
-                return self.weights[0]
-            found = evidence([len(o(x)) - len(t(x)) for x in windows(text, self.config.window)], self.config)
-            return float(1 / (1 + math.exp(-np.clip(((np.array(found) - c) / s) @ w, -30, 30))))
+        def score(texts: list[str | None]) -> list[float]:
+            if not pairs:
+                return [self.weights[0]] * len(texts)
+            cut = [windows(t, self.config.window) for t in texts]
+            z = (np.array(_evidence(cut, pairs)) - c) / s @ w
+            return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
         return score
 
 
-def evidence(saved: list[int], config: ToxicConfig) -> list[float]:
-    top = [max(0, x) for x in sorted(saved, reverse=True)[:3]] + [0, 0, 0]
-    counts = [sum(x >= least for x in saved) for least in config.thresholds]
-    n = len(saved)
-    return [*top[:3], *map(math.log1p, counts), 20 * counts[0] / max(n, 20), math.log(n + 1), 1.0]
-
-
-def _marks(cut: list[bytes]) -> set[bytes]:
-    found = set()
-    for window in cut:
-        for w in window.split():
-            found.add(b" " + w + b" ")
-            found.update(b" " + w[:k] for k in (5, 7) if len(w) >= k)
-    return found
-
-
-def marks(toxic: list[list[bytes]], ordinary: list[list[bytes]], config: ToxicConfig) -> list[bytes]:
-    """What tells toxic documents, strongest first."""
-    a, b = Counter(), Counter()
-    for cut in toxic:
-        a.update(_marks(cut))
-    for cut in ordinary:
-        b.update(_marks(cut))
-    na, nb = len(toxic), len(ordinary)
-
-    def ratio(g: bytes) -> float:
-        def log(k: int, n: int, p: float) -> float:
-            p = min(max(p, 1e-9), 1 - 1e-9)
-            return k * math.log(p) + (n - k) * math.log(1 - p)
-
-        p = (a[g] + b[g]) / (na + nb)
-        return 2 * (log(a[g], na, a[g] / na) + log(b[g], nb, b[g] / nb) - log(a[g], na, p) - log(b[g], nb, p))
-
-    lifted = [g for g in a if a[g] >= config.least_docs and math.log((a[g] + 0.5) / (na + 1)) - math.log((b[g] + 0.5) / (nb + 1)) > config.least_lift]
-    # the step-up bound over all that enough documents of either class hold, by the tails of the likelihood ratio
-    tested = sum(n + b[g] >= config.least_docs for g, n in a.items()) + sum(n >= config.least_docs for g, n in b.items() if g not in a)
-    ranked = sorted(((ratio(g), g) for g in lifted), reverse=True)
-    held = [k for k, (r, _) in enumerate(ranked, 1) if math.erfc(math.sqrt(max(r, 0) / 2)) <= config.false_marks * k / tested]
-    strong = {g: r for r, g in ranked[: max(held, default=0)]}
-    # the longest way to write each mark: one that a longer mark holds in nearly all its documents adds nothing
-    chosen: list[bytes] = []
-    for g in sorted(strong, key=lambda g: (-len(g), -strong[g], g)):
-        if not any(g in h and a[h] >= config.same_docs * a[g] for h in chosen):
-            chosen.append(g)
-    chosen.sort(key=lambda g: (-strong[g], g))
-    return chosen[: config.most_marks]
-
-
-def _unmarked(window: bytes, holds) -> bytes:
-    return b" " + b" ".join(w for w in window.split() if not holds(b" " + w + b" ")) + b" "
+def _evidence(docs: list[list[bytes]], pairs: list[tuple]) -> list[list[float]]:
+    ends = np.cumsum([len(d) for d in docs])
+    return [evidence(x) for x in np.split(savings([w for d in docs for w in d], pairs), ends[:-1])]
+
+
+def _joined(cut: list[bytes], size: int) -> bytes:
+    """``size`` bytes of windows, the first at the end."""
+    held, n = [], 0
+    for w in cut:
+        if n >= size:
+            break
+        held.append(w)
+        n += len(w)
+    return b"".join(held[::-1])[-size:] if size else b""
+
+
+def train_pairs(toxic: list[list[bytes]], ordinary: list[list[bytes]], config: ToxicConfig, rng: random.Random) -> list[tuple[bytes, bytes]]:
+    """(toxic, ordinary) dictionaries from the windows of texts of either class."""
+    n = max(1, min(config.pairs, len(toxic) // config.fold_texts))
+
+    def folds(docs: list[list[bytes]]) -> list[list[bytes]]:
+        seen, out = set(), []
+        for k in range(n):  # a window counts for the first fold that has it
+            own = [w for w in dict.fromkeys(w for d in docs[k::n] for w in d) if w not in seen]
+            seen.update(own)
+            rng.shuffle(own)
+            out.append(own[: config.fold_windows])
+        return out
+
+    sides = folds(toxic), folds(ordinary)
+    pool = [w for fold in sides[1] for w in fold]
+    background = _joined(rng.sample(pool, len(pool)), config.background)
+    ranked = [list(side) for side in sides]
+    for turn in range(config.rounds + 1):
+        pairs = []
+        for t, o in zip(*ranked):
+            size = min(config.own, sum(map(len, t)), sum(map(len, o)))
+            pairs.append((background + _joined(t, size), background + _joined(o, size)))
+        if turn == config.rounds or n == 1:
+            return pairs
+        able = [(_compressor(t), _compressor(o)) for t, o in pairs]
+        for side, least in ((0, config.least_saved), (1, None)):
+            for k, fold in enumerate(sides[side]):
+                others = np.sort([_saved(fold, *pair) for j, pair in enumerate(able) if j != k], axis=0)[(n - 1) // 4]
+                order = np.argsort(-others, kind="stable")
+                if least is not None and (others >= least).any():
+                    order = order[: int((others >= least).sum())]
+                ranked[side][k] = [fold[i] for i in order]
 
 
 def fit(toxic: list[str], ordinary: list[str], share: float, config: ToxicConfig = ToxicConfig(), seed: int = 3) -> ToxicModel:
     """Dictionaries from two thirds of either class, calibration from the rest."""
     if not toxic or not ordinary:
-        return ToxicModel(b"", b"", (share,), (0.0,), (1.0,), config)
+        return ToxicModel((), (share,), (0.0,), (1.0,), config)
     rng = random.Random(seed)
-    cut = [[windows(t, config.window) for t in texts] for texts in (toxic, ordinary)]
+    cut = [[windows(t, config.window) for t in rng.sample(texts, len(texts))] for texts in (toxic, ordinary)]
     learn, rest = [[x for i, x in enumerate(c) if i % 3] for c in cut], [[x for i, x in enumerate(c) if not i % 3] for c in cut]
-    learn = [x or y for x, y in zip(learn, rest)]
-    chosen = marks(*learn, config)
-    holds = re.compile(b"|".join(map(re.escape, chosen))).search if chosen else lambda w: None
-    # an ordinary document may hold a mark; in the common background it would hide that mark from every text
-    pool = [w for doc in learn[1] for w in doc if not holds(w)]
-    ordinary_dict = b"".join(rng.sample(pool, min(len(pool), config.background))) + b" " * 8
-    marked = [w for doc in learn[0] for w in doc if holds(w)] or [w for doc in learn[0] for w in doc]
-    marked = rng.sample(marked, min(len(marked), config.toxic_windows))
-    # their other words are in both dictionaries, so only what holds a mark makes a difference
-    ordinary_dict = b"".join(_unmarked(w, holds) for w in marked) + ordinary_dict if chosen else ordinary_dict
-    own, ends = b"".join(marked), b"".join(chosen[::-1])
-    toxic_dict = own + ordinary_dict + ends
-    for _ in range(2):
-        o, t = _compressor(ordinary_dict).compress, _compressor(toxic_dict).compress
-        wrong = [w for doc in learn[1][:2000] for w in doc if not holds(w) and len(o(w)) - len(t(w)) >= config.thresholds[0]]
-        extra = b"".join(rng.sample(wrong, min(len(wrong), config.mistaken)))
-        ordinary_dict = extra + ordinary_dict
-        toxic_dict = own + ordinary_dict + ends
-    o, t = _compressor(ordinary_dict).compress, _compressor(toxic_dict).compress
-    x = np.array([evidence([len(o(w)) - len(t(w)) for w in doc], config) for part in rest for doc in part])
+    pairs = train_pairs(*(x or y for x, y in zip(learn, rest)), config, rng)
+    able = [(_compressor(t), _compressor(o)) for t, o in pairs]
+    x = np.array([e for part in rest for e in _evidence(part, able)])
     y = np.repeat([1.0, 0.0], [len(rest[0]), len(rest[1])])
-    importance = np.where(y == 1, share / max(len(rest[0]), 1), (1 - share) / max(len(rest[1]), 1)) * len(y)
+    importance = np.where(y == 1, share / len(rest[0]), (1 - share) / len(rest[1])) * len(y)
     center, scale = x.mean(0), x.std(0) + 1e-9
     center[-1], scale[-1] = 0.0, 1.0
     z, w = (x - center) / scale, np.zeros(x.shape[1])
@@ -189,7 +200,7 @@ def fit(toxic: list[str], ordinary: list[str], share: float, config: ToxicConfig
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         g = z.T @ (importance * (p - y)) + 1e-2 * w
         w = w - np.linalg.solve((z * (importance * p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(len(w)), g)
-    return ToxicModel(toxic_dict, ordinary_dict, tuple(w), tuple(center), tuple(scale), config)
+    return ToxicModel(tuple(pairs), tuple(w.tolist()), tuple(center.tolist()), tuple(scale.tolist()), config)
 
 
 def remainder(doc_id: Column) -> Column:
@@ -199,18 +210,20 @@ def remainder(doc_id: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, config: ToxicConfig = ToxicConfig()) -> ToxicModel:
     """From labelled rows whose crc32(doc_id) mod 3 isn't 1."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(remainder(F.col("doc_id")) != 1)
-    known = known.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).alias("toxic"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic") > 0).alias("toxic"))
+    known = staged(known, "toxic-labels")
     size = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     share = size.get(True, 0) / max(1, sum(size.values()))
     picked = None
     for value, most in ((True, config.toxic_sample), (False, config.ordinary_sample)):
         part = known.where(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         picked = part if picked is None else picked.unionByName(part)
-    picked = staged(picked.dropDuplicates(["doc_id"]), "toxic-sample")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= config.longest_training_text)
-    rows = texts.limit(2 * (config.toxic_sample + config.ordinary_sample)).select("doc_id", "toxic", "text").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"] or ""))
-    return fit([r["text"] or "" for r in rows if r["toxic"]], [r["text"] or "" for r in rows if not r["toxic"]], share, config)
+    picked = staged(picked, "toxic-sample")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= config.longest_training_text)
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()  # at most both samples
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    unique = [list(dict.fromkeys(r["text"] for r in rows if r["toxic"] == value)) for value in (True, False)]
+    return fit(*unique, share, config)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, config: ToxicConfig = ToxicConfig()) -> DataFrame:
@@ -220,7 +233,14 @@ def score_documents(docs: DataFrame, labels: DataFrame, config: ToxicConfig = To
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
         for batch in batches:
-            scores = [score(t.as_py()) for t in batch.column(1)]
+            scores, held, words = [], [], 0
+            for t in batch.column(1):
+                held.append(t.as_py())
+                words += len(held[-1] or "") // 6
+                if words >= BATCH_WINDOWS * config.window:
+                    scores += score(held)
+                    held, words = [], 0
+            scores += score(held) if held else []
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     scored = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")

@@ -113,15 +113,57 @@ def test_toxicity_edges(spark, empty, clashing):
     assert toxicity.score_documents(empty, known).count() == 0
 
 
-def test_toxicity_marks_do_not_wait_for_many_labels(spark):
-    rows, labels = toxic_rows(180)
+def test_toxicity_dictionaries_are_whole_windows_of_equal_size(spark):
+    rows, labels = toxic_rows(360)
     docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = toxicity.train(docs, known)
-    assert model.toxic != model.ordinary and any(b" ".join(w.split()[1:4]) in model.toxic for t, (_, y) in zip(rows, labels) if y for w in toxicity.windows(t[1], 6))
-    got = [r for r in toxicity.score_documents(docs, known).collect() if r["held_out"]]
-    toxic = [r for r in got if r["doc_id"] % 6 == 0]
-    assert len(toxic) >= 5 and sum(r["predicted"] for r in toxic) >= 0.8 * len(toxic)
-    assert sum(r["predicted"] for r in got if r["doc_id"] % 6) <= 0.05 * len(got)
+    size = model.config.window
+    of = [{w for (_, t), (_, y) in zip(rows, labels) if y == value for w in toxicity.windows(t, size)} for value in (1, 0)]
+    assert len(model.pairs) > 1
+    for toxic, ordinary in model.pairs:
+        assert len(toxic) == len(ordinary)
+        for held, allowed in ((toxic, of[0] | of[1]), (ordinary, of[1])):
+            parts = [b" " + x + b" " for x in held.strip().split(b"  ")]
+            assert sum(p not in allowed for p in parts) <= 2  # cut at the size limit: the first of each part
+        assert sum(w in toxic for w in of[0] - of[1]) >= 3 and not any(w in ordinary for w in of[0] - of[1])
+
+
+def test_toxicity_scores_against_plain_python(spark):
+    import math
+
+    import zstandard
+
+    rows, labels = toxic_rows(300)
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, known)
+    params = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_BTOPT, min_match=4, search_log=4, window_log=17, hash_log=15, chain_log=15, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def size(data, dictionary):
+        held = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=held, compression_params=params).compress(data))
+
+    def plain(text):
+        saved = []
+        for w in toxicity.windows(text, 6):
+            g = [size(w, o) - size(w, t) for t, o in model.pairs]
+            low = sorted(g)[: math.ceil(2 * len(g) / 3)]
+            saved.append(sum(low) / len(low) if g[0] > 0 and (len(g) < 2 or g[0] + g[1] > 1) else 0)
+        top = [max(0, x) for x in sorted(saved, reverse=True)[:3]] + [0, 0]
+        c = [sum(x >= k for x in saved) for k in (1, 2, 3, 5)]
+        x = [*top[:3], *map(math.log1p, c), 20 * c[1] / max(len(saved), 20), 20 * c[2] / max(len(saved), 20), math.log(len(saved) + 1), 1]
+        return 1 / (1 + math.exp(-sum((a - b) / d * e for a, b, d, e in zip(x, model.center, model.scale, model.weights))))
+
+    few = rows[:12]
+    assert np.allclose(model.scorer()([t for _, t in few]), [plain(t) for _, t in few])
+
+
+def test_toxicity_copies_and_repeated_labels(spark):
+    rows, labels = toxic_rows(240)
+    docs = spark.createDataFrame([*rows, *[(10_000 + i, rows[6][1]) for i in range(500)], (7, "another text of seven")], "doc_id long, text string")
+    known = spark.createDataFrame([*labels, *labels, *[(10_000 + i, 1) for i in range(500)], (9, 1)], "doc_id long, toxic int")
+    got = toxicity.score_documents(docs, known).collect()
+    clean = [r for r in got if r["doc_id"] < 240 and r["doc_id"] % 6 and r["held_out"]]
+    assert len(got) == 741 and sum(r["predicted"] for r in clean) <= 0.1 * len(clean)
 
 
 def licences(text: str) -> list[str]:
