@@ -105,42 +105,36 @@ def op4_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP4_SQL = """
 WITH RECURSIVE sizes AS (
-  SELECT coalesce(source, '') AS s, count(*) AS n FROM documents GROUP BY 1
-), want AS (
-  SELECT s, n, 1000 * pow(n, 0.7) / sum(pow(n, 0.7)) OVER () AS x FROM sizes
-), floors AS (
-  SELECT s, n, x, greatest(1, CAST(floor(x) AS BIGINT)) AS w FROM want
+  SELECT coalesce(source, '') AS s, count(*) AS n, pow(count(*), 0.7) AS want FROM documents GROUP BY 1
+), rounded AS (
+  SELECT s, n, row_number() OVER (ORDER BY s) AS i, greatest(1, CAST(floor(1099511627776 * want / sum(want) OVER () + 0.5) AS BIGINT)) AS p FROM sizes
 ), parts AS (
-  SELECT s, n, row_number() OVER (ORDER BY s) AS i,
-         w + CASE WHEN row_number() OVER (ORDER BY w - x, s) <= 1000 - sum(w) OVER () THEN 1 ELSE 0 END AS p,
-         CAST(ceil(n / 64) AS BIGINT) AS blocks
-  FROM floors
+  SELECT s, n, i, CAST(p + CASE WHEN row_number() OVER (ORDER BY p DESC, i) = 1 THEN 1099511627776 - sum(p) OVER () ELSE 0 END AS BIGINT) AS p FROM rounded
+), small AS (
+  SELECT max(CAST(ceil(ceil(n / 64) * 1099511627776 / p) AS BIGINT)) AS h FROM parts
+), bs AS (
+  SELECT CASE WHEN h > 262144 THEN 64 * CAST(ceil(h / 262144) AS BIGINT) ELSE 64 END AS b FROM small
+), sources AS (
+  SELECT s, i, p, b, CAST(ceil(n / b) AS BIGINT) AS blocks FROM parts, bs
 ), shares AS (
-  SELECT list(p ORDER BY i) AS ps FROM parts
+  SELECT list(p ORDER BY i) AS ps, max(CAST(ceil(blocks * 1099511627776 / p) AS BIGINT)) AS h FROM sources
 ), sched AS (
-  SELECT 0 AS t, [CAST(0 AS BIGINT) FOR p IN ps] AS done, ps, CAST(NULL AS BIGINT) AS c FROM shares
+  SELECT 0 AS t, [CAST(0 AS BIGINT) FOR p IN ps] AS done, ps, h, CAST(NULL AS BIGINT) AS c FROM shares
   UNION ALL
-  SELECT t + 1, [CASE WHEN j = best THEN done[j] + 1 ELSE done[j] END FOR j IN range(1, len(ps) + 1)], ps, best
-  FROM (SELECT *, list_min([struct_pack(d := CAST(ceil(1000 * (done[j] + 1) / ps[j]) AS BIGINT), j := j)
-                            FOR j IN range(1, len(ps) + 1) IF floor(1000 * done[j] / ps[j]) <= t AND done[j] < ps[j]]).j AS best
-        FROM sched WHERE t < 1000)
-), template AS (
-  SELECT s, p, blocks, t - 1 AS slot, row_number() OVER (PARTITION BY c ORDER BY t) - 1 AS nth
-  FROM sched JOIN parts ON c = i WHERE c IS NOT NULL
+  SELECT t + 1, [CASE WHEN j = best THEN done[j] + 1 ELSE done[j] END FOR j IN range(1, len(ps) + 1)], ps, h, best
+  FROM (SELECT *, list_min([struct_pack(d := ((done[j] + 1) * 1099511627776 + ps[j] - 1) // ps[j], j := j)
+                            FOR j IN range(1, len(ps) + 1) IF done[j] * 1099511627776 // ps[j] <= t]).j AS best
+        FROM sched WHERE t < h)
+), slots AS (
+  SELECT s, b, blocks, t - 1 AS slot, row_number() OVER (PARTITION BY c ORDER BY t) - 1 AS nth FROM sched JOIN sources ON c = i
 ), ends AS (
-  SELECT max((blocks - 1) // p * 1000 + slot) + 1 AS e FROM template WHERE nth = (blocks - 1) % p
-), owned AS (
-  SELECT s, any_value(p) AS p, any_value(blocks) AS blocks, any_value(e // 1000) * any_value(p) + count(*) FILTER (slot < e % 1000) AS k
-  FROM template, ends GROUP BY s
+  SELECT max(slot) AS e FROM slots WHERE nth = blocks - 1
 ), numbered AS (
   SELECT doc_id, source, coalesce(source, '') AS s, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY doc_id) - 1 AS q FROM documents
-), laid AS (
-  SELECT doc_id, source, numbered.s, q, p, blocks, unnest(range(0, CAST((k - 1 - q // 64) // blocks + 1 AS BIGINT))) AS epoch
-  FROM numbered JOIN owned ON numbered.s = owned.s
 )
-SELECT doc_id, source, epoch, epoch * laid.blocks + q // 64 AS block,
-       (epoch * laid.blocks + q // 64) // laid.p * 1000 + slot AS slot, q % 64 AS place
-FROM laid JOIN template ON laid.s = template.s AND (epoch * laid.blocks + q // 64) % laid.p = nth
+SELECT doc_id, source, nth // blocks AS epoch, nth AS block, CAST(slot AS BIGINT) AS slot, q % b AS place
+FROM numbered JOIN slots ON numbered.s = slots.s AND q // b = nth % blocks, ends
+WHERE slot <= e
 """
 
 

@@ -1,6 +1,8 @@
 import importlib
+import math
 import zlib
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -19,24 +21,49 @@ def three(spark):
     return spark.createDataFrame(rows, "doc_id long, source string").repartition(4)
 
 
-def test_deviation_is_less_than_a_block(three):
-    weights = {"a": 0.5, "b": 0.3, "": 0.2}
-    rows = mixture(three, weights=weights, period=97, block_rows=4)
-    slots = {r[4]: r[1] for r in rows}
-    assert sorted(slots) == list(range(len(slots)))
-    spark = three.sparkSession
-    parts = dict(mixing.shares(three.selectExpr("coalesce(source, '') source").groupBy("source").count().withColumnRenamed("count", "n"), 97, 0.7, weights))
-    assert sum(parts.values()) == 97
+def earliest_deadline_first(shares, blocks):
+    """Slots by the rule in exact fractions, until every source has placed its blocks."""
+    total, done, out = sum(shares), [0] * len(shares), []
+    while any(d < b for d, b in zip(done, blocks)):
+        w = [Fraction(p, total) for p in shares]
+        ready = [(math.ceil((d + 1) / x), i) for i, (d, x) in enumerate(zip(done, w)) if math.floor(d / x) <= len(out)]
+        i = min(ready)[1]
+        out.append((i, done[i]))
+        done[i] += 1
+    return out
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.5, "b": 0.3, "": 0.2}, {"a": 0.3335, "b": 0.3335, "": 0.333}, {"a": 7, "b": 1, "": 90}])
+def test_schedule_against_brute_force(three, weights):
+    rows = mixture(three, weights=weights, block_rows=4)
+    one = mixing.shared_out(three.selectExpr("coalesce(source, '') source").groupBy("source").count().withColumnRenamed("count", "n"), 0.7, weights).first()
+    shares = [r["share"] for r in one["sources"]]
+    exact = [Fraction(str(weights[s])) for s in sorted(weights)]
+    assert sum(shares) == one["fine"] and [Fraction(p, one["fine"]) for p in shares] == [w / sum(exact) for w in exact]
+    want = earliest_deadline_first(shares, [3, 25, 10])
+    assert sorted({(r[4], sorted(weights).index(r[1]), r[3]) for r in rows}) == [(t, i, k) for t, (i, k) in enumerate(want)]
     done = Counter()
-    for t in range(len(slots)):
-        done[slots[t]] += 1
-        for s, p in parts.items():
-            assert abs(done[s] - (t + 1) * p / 97) < 1
-    assert spark is not None
+    for t, (i, _) in enumerate(want):
+        done[sorted(weights)[i]] += 1
+        assert all(abs(done[s] - (t + 1) * w / sum(exact)) < 1 for s, w in zip(sorted(weights), exact))
+
+
+def test_deviation_from_target_weights_over_100000_slots(spark):
+    weights = {"a": 0.3335, "b": 0.3335, "c": 0.333 - 1 / 90_000, "d": 1 / 90_000}
+    sizes = spark.createDataFrame([("a", 40_000), ("b", 40_000), ("c", 40_000), ("d", 1)], "source string, n long")
+    sources = mixing.shared_out(sizes, 0.7, weights)
+    slots = mixing._slots_needed(sources, 1)
+    laid = sorted((r["slot"], r["i"], r["nth"]) for r in mixing.laid_out(mixing.staged(sources, "test"), slots, 1).collect())
+    assert len(laid) > 100_000 and [t for t, *_ in laid] == list(range(len(laid)))
+    order = np.array([i for _, i, _ in laid])
+    for i, w in enumerate(weights.values()):
+        gone = np.cumsum(order == i)
+        assert np.abs(gone - w * np.arange(1, len(laid) + 1)).max() < 1 + 1e-6
+        assert [k for _, j, k in laid if j == i] == list(range(gone[-1]))
 
 
 def test_every_row_is_placed_and_epochs_repeat_whole_blocks(three):
-    rows = mixture(three, weights={"a": 0.5, "b": 0.3, "": 0.2}, period=50, block_rows=4)
+    rows = mixture(three, weights={"a": 0.5, "b": 0.3, "": 0.2}, block_rows=4)
     ids = {r["doc_id"] for r in three.collect()}
     assert {r[0] for r in rows} == ids
     assert len({(r[4], r[5]) for r in rows}) == len(rows)
@@ -53,10 +80,26 @@ def test_mixing_edges(spark, empty, clashing, docs):
     assert {r[0] for r in mixture(docs)} == {r["doc_id"] for r in docs.select("doc_id").collect()}
     out = mixing.mixed(clashing)
     assert out.columns == clashing.columns and out.count() >= clashing.count()
-    with pytest.raises(ValueError):
-        mixture(docs, period=2)
+    with pytest.raises(ValueError, match="s1"):
+        mixture(docs, weights={"": 1.0, "s0": 1.0})
     with pytest.raises(ValueError):
         mixture(docs, weights=dict.fromkeys(["", "s0", "s1", "s2", "s3"], 0.0))
+    with pytest.raises(ValueError, match="slots"):
+        mixture(docs, weights={"": 1.0, "s0": 1.0, "s1": 1.0, "s2": 1.0, "s3": 1e-9})
+
+
+def test_mixing_with_clashing_names(spark):
+    names = ["doc_id", "source", "blocks", "nth", "slot", "i", "key", "seq", "place", "__s", "__part", "__slot", "__source", "of", "b", "named", "c0", "a`b", "release"]
+    df = spark.createDataFrame([(k, f"s{k % 2}", *range(17)) for k in range(50)], ", ".join(f"`{c.replace('`', '``')}` long" if c != "source" else "source string" for c in names))
+    out = mixing.mixed(df, block_rows=4)
+    assert out.columns == names and {r["doc_id"] for r in out.collect()} == set(range(50)) and {tuple(r)[2:] for r in out.collect()} == {tuple(range(17))}
+
+
+def test_blocks_grow_so_that_slots_stay_bounded(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SLOTS", 20)
+    df = spark.range(1000).selectExpr("id doc_id", "case when id % 3 = 0 then 'a' else 'b' end source")
+    rows = mixture(df, block_rows=4)
+    assert {r[0] for r in rows} == set(range(1000)) and max(r[4] for r in rows) < 40
 
 
 def test_any_number_of_sources(spark):
@@ -74,7 +117,7 @@ def test_long_mixtures_hold_the_exact_weights(spark):
     done = Counter()
     for t, r in enumerate(sorted(rows, key=lambda r: r[4])):
         done[r[1]] += 1
-        assert all(abs(done[s] - (t + 1) * w) < 1.001 for s, w in weights.items())
+        assert all(abs(done[s] - (t + 1) * Fraction(str(w))) < 1 for s, w in weights.items())
     placed, _ = mixing.mix(df, weights=weights, block_rows=1)
     assert not any(x in placed._jdf.queryExecution().toString() for x in ("Python", "Pandas", "MapInArrow"))
 
