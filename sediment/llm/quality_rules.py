@@ -3,17 +3,22 @@
 Each text gets counts (words, symbols, repeated lines, repeated three-word
 windows) and three soft rules on them. Failures are added up by host, each
 host's failure rate of each rule is shrunk toward an empirical beta prior fitted
-over all hosts, and the verdicts go back to the documents: a host whose overall
-rate is at least ``reject_rate`` loses all its documents; at a host whose rate of
-a soft rule is at least ``watch_rate``, documents that fail that rule go; and a
-document that fails the base rule goes whatever its host.
-
-Defined results: a null text has no words and fails the base rule; a null host is
-a host of its own; an empty table gives an empty result.
+over all hosts, and the verdicts go back to the documents. A host's rate is held against
+the fitted prior: where that of a soft rule is more than ``watch_spread`` of the prior's
+standard deviations above its mean, documents that fail the rule go; at
+other hosts one such failure is excused. A host whose rate of any failure is
+more than ``reject_spread`` deviations above the mean, and at least ``reject_rate``, loses
+all its documents; and a document that fails the base rule goes whatever its host.
+
+Defined results: a null text has no words and fails the base rule; a text of any length is
+read whole; a null host is a host of its own; where all hosts have one rate, or there
+is one host, no soft failure counts; rows that share an id are judged on their own; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -28,12 +33,15 @@ SOFT = ("symbols", "lines", "lengths")
 PLACE_BITS = 20
 #: Host verdicts that may be broadcast: rows, and bytes of their names.
 BROADCAST_HOSTS, BROADCAST_BYTES = 100_000, 8_000_000
+#: Beyond that, hosts with more than a 4096th of all rows still are: at most so many.
+HEAVY_HOSTS = 4096
 
 
 @dataclass(frozen=True)
 class HostPolicy:
     reject_rate: float = 0.5
-    watch_rate: float = 0.02
+    reject_spread: float = 4.0
+    watch_spread: float = 0.5
     #: Prior observations where the hosts' rates don't spread, and the range of fitted ones.
     strength: float = 100.0
     strength_range: tuple[float, float] = (1.0, 10_000.0)
@@ -120,12 +128,12 @@ def _without(text: Column, chars: str) -> Column:
 
 
 def judged(docs: DataFrame, text_col: str, host_col: str, keep: list[str]) -> DataFrame:
-    """Columns ``keep``, then host, counts, base_failed and the soft failures; written once."""
-    m = fresh_name(docs, "__m")
-    x = lambda c: F.col(f"{m}.{c}")
-    rows = with_metrics(docs, text_col).select(
-        *[F.col(f"`{c}`").alias(f"__d_{i}") for i, c in enumerate(keep)],
-        F.col(f"`{host_col}`").cast("string").alias("__host"),
+    """Columns ``keep`` as __d_0, __d_1, ..., then host, counts, base_failed and the soft failures; written once."""
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no column of ``docs`` meets a helper column by name
+    x = lambda c: F.col(f"__m.{c}")
+    rows = with_metrics(docs.toDF(*at.values()), at[text_col]).select(
+        *[F.col(at[c]).alias(f"__d_{i}") for i, c in enumerate(keep)],
+        F.col(at[host_col]).cast("string").alias("__host"),
         x("n_words").alias("n_words"), x("word_chars").alias("word_chars"), x("n_symbols").alias("n_symbols"),
         x("lines.dup").alias("n_dup_lines"), x("lines.n").alias("__lines"), x("n_repeat_words").alias("n_repeat_words"),
     )
@@ -140,17 +148,21 @@ def judged(docs: DataFrame, text_col: str, host_col: str, keep: list[str]) -> Da
 
 
 def host_verdicts(rows: DataFrame, policy: HostPolicy) -> DataFrame:
-    """Hosts with a verdict against them: __host (null-safe key), v_reject, v_symbols, v_lines, v_lengths."""
+    """Every host's verdicts: __h (null-safe key), __n (its rows), v_reject, v_symbols, v_lines, v_lengths."""
     rules = {"any": F.col("base_failed") | F.col("f_symbols") | F.col("f_lines") | F.col("f_lengths")} | {r: F.col(f"f_{r}") for r in SOFT}
     hosts = rows.groupBy("__host").agg(F.count("*").alias("n"), *[F.sum(c.cast("long")).alias(r) for r, c in rules.items()])
     hosts = staged(hosts, "host-rates")
     spread = hosts.agg(*[f(F.col(r) / F.col("n")).alias(f"{k}_{r}") for r in rules for k, f in (("m", F.avg), ("v", F.var_pop))]).first()
-    rate = {}
+    against = {}
     for r in rules:
         a, s = beta_prior(spread[f"m_{r}"], spread[f"v_{r}"], policy)
-        rate[r] = (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(s))
-    found = hosts.select(F.col("__host").alias("__h"), (rate["any"] >= policy.reject_rate).alias("v_reject"), *[(rate[r] >= policy.watch_rate).alias(f"v_{r}") for r in SOFT])
-    return found.where(F.col("v_reject") | F.col("v_symbols") | F.col("v_lines") | F.col("v_lengths"))
+        mean = a / s
+        deviation = math.sqrt(mean * (1 - mean) / (s + 1))
+        rate = (F.col(r) + F.lit(a)) / (F.col("n") + F.lit(s))
+        against[r] = rate > mean + (policy.reject_spread if r == "any" else policy.watch_spread) * deviation
+        if r == "any":
+            against[r] &= rate >= policy.reject_rate
+    return hosts.select(F.col("__host").alias("__h"), F.col("n").alias("__n"), against["any"].alias("v_reject"), *[against[r].alias(f"v_{r}") for r in SOFT])
 
 
 def beta_prior(mean: float | None, var: float | None, policy: HostPolicy) -> tuple[float, float]:
@@ -163,10 +175,17 @@ def beta_prior(mean: float | None, var: float | None, policy: HostPolicy) -> tup
 
 
 def _met(rows: DataFrame, policy: HostPolicy) -> DataFrame:
-    verdicts = staged(host_verdicts(rows, policy), "host-verdicts")
+    hosts = staged(host_verdicts(rows, policy), "host-verdicts")
+    verdicts = hosts.where(F.col("v_reject") | F.col("v_symbols") | F.col("v_lines") | F.col("v_lengths"))
     size = verdicts.agg(F.count("*").alias("n"), F.sum(F.octet_length("__h")).alias("b")).first()
-    small = size["n"] <= BROADCAST_HOSTS and (size["b"] or 0) <= BROADCAST_BYTES
-    joined = rows.join(F.broadcast(verdicts) if small else verdicts.hint("merge"), F.col("__host").eqNullSafe(F.col("__h")), "left")
+    same = F.col("__host").eqNullSafe(F.col("__h"))
+    if size["n"] <= BROADCAST_HOSTS and (size["b"] or 0) <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(verdicts), same, "left")
+    else:
+        total = hosts.agg(F.sum("__n")).first()[0]
+        heavy = F.broadcast(hosts.where(F.col("__n") * HEAVY_HOSTS > total))
+        light = rows.join(heavy, same, "left_anti").join(verdicts.hint("merge"), same, "left")
+        joined = rows.join(heavy, same).unionByName(light)
     no = F.lit(False)
     against = F.coalesce(F.col("v_reject"), no)
     for r in SOFT:

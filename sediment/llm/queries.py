@@ -71,11 +71,11 @@ WITH d AS (
 ), prior AS (
   SELECT rule, mu, CASE WHEN v > 0 AND v < mu * (1 - mu) THEN least(10000, greatest(1, mu * (1 - mu) / v - 1)) ELSE 100 END AS s FROM spread
 ), verdict AS (
-  SELECT source, max(CASE WHEN rule = 'any' THEN post END) >= 0.5 AS v_reject,
-         max(CASE WHEN rule = 'symbols' THEN post END) >= 0.02 AS v_symbols,
-         max(CASE WHEN rule = 'lines' THEN post END) >= 0.02 AS v_lines,
-         max(CASE WHEN rule = 'lengths' THEN post END) >= 0.02 AS v_lengths
-  FROM (SELECT source, rule, (c + mu * s) / (n + s) AS post FROM hosts JOIN prior USING (rule)) GROUP BY source
+  SELECT source, max(CASE WHEN rule = 'any' THEN post END) > max(CASE WHEN rule = 'any' THEN mu + 4 * sd END) AND max(CASE WHEN rule = 'any' THEN post END) >= 0.5 AS v_reject,
+         max(CASE WHEN rule = 'symbols' THEN post - mu - 0.5 * sd END) > 0 AS v_symbols,
+         max(CASE WHEN rule = 'lines' THEN post - mu - 0.5 * sd END) > 0 AS v_lines,
+         max(CASE WHEN rule = 'lengths' THEN post - mu - 0.5 * sd END) > 0 AS v_lengths
+  FROM (SELECT source, rule, mu, sqrt(mu * (1 - mu) / (s + 1)) AS sd, (c + mu * s) / (n + s) AS post FROM hosts JOIN prior USING (rule)) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR v_reject OR f_symbols AND v_symbols OR f_lines AND v_lines OR f_lengths AND v_lengths) AS kept,

@@ -102,6 +102,35 @@ def test_quality_host_verdicts(spark, empty, clashing):
     assert quality_rules.filter_documents(clashing).columns == clashing.columns
 
 
+def test_quality_hosts_decide_soft_failures(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    rows = quality_rules.judged(docs, "text", "source", ["doc_id"]).cache()
+    verdicts = {r["__h"]: r for r in quality_rules.host_verdicts(rows, quality_rules.HostPolicy()).collect()}
+    for rule in ("symbols", "lines"):
+        watched = [h for h, v in verdicts.items() if v[f"v_{rule}"]]
+        assert 0 < len(watched) < len(verdicts)
+    kept = {r["__d_0"]: r["kept"] for r in quality_rules._met(rows, quality_rules.HostPolicy()).collect()}
+    soft = [r for r in rows.collect() if not r["base_failed"] and (r["f_symbols"] or r["f_lines"] or r["f_lengths"])]
+    excused = [r for r in soft if kept[r["__d_0"]]]
+    assert 0 < len(excused) < len(soft)  # neither verdict could be given without the hosts
+    for r in soft:
+        v = verdicts[r["__host"]]
+        assert kept[r["__d_0"]] == (not any(r[f"f_{x}"] and v[f"v_{x}"] for x in quality_rules.SOFT))
+
+
+def test_quality_many_hosts_take_the_exchange(spark, docs, monkeypatch):
+    want = sorted(quality_rules.quality_report(docs).collect())
+    monkeypatch.setattr(quality_rules, "BROADCAST_HOSTS", -1)
+    assert sorted(quality_rules.quality_report(docs).collect()) == want
+    monkeypatch.setattr(quality_rules, "HEAVY_HOSTS", 2)
+    assert sorted(quality_rules.quality_report(docs).collect()) == want
+
+
+def test_quality_with_odd_column_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "h", 1, 2, 3)], "doc_id long, text string, source string, `a``b` int, __host int, __m int")
+    assert quality_rules.filter_documents(df).columns == df.columns
+
+
 def test_quality_plan_is_native(spark, docs):
     plan = quality_rules.judged(docs, "text", "source", ["doc_id"])._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
