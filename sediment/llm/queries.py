@@ -17,6 +17,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     index = exact_dedup.DigestIndex(spark, scratch_path(spark, "digest-index"))
     found = exact_dedup.deduplicate(docs, index)
+    index.close()
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 

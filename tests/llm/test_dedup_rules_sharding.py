@@ -43,6 +43,42 @@ def test_exact_is_incremental_and_persistent(spark):
     assert again.table().count() == 3
 
 
+def test_exact_batches_run_again_give_the_same_verdicts(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "b"), (3, "b")], "doc_id long, text string")
+    own = index(spark)
+    first = sorted(exact_dedup.deduplicate(df, own, batch="monday").collect())
+    again = sorted(exact_dedup.deduplicate(df.repartition(3), own, batch="monday").collect())
+    assert first == again and sum(r["kept"] for r in again) == 2 and own.table().count() == 2
+    assert exact_dedup.drop_duplicates(df, own, batch="monday").count() == 2
+    assert exact_dedup.drop_duplicates(df, own, batch="tuesday").count() == 0
+
+
+def test_exact_index_outlives_settings_and_names(spark):
+    path = scratch_path(spark, "test-index")
+    first = exact_dedup.DigestIndex(spark, path)
+    exact_dedup.deduplicate(spark.createDataFrame([(1, "a")], "doc_id long, text string"), first)
+    first.close()
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        again = exact_dedup.DigestIndex(spark, path)
+        assert again.buckets == first.buckets
+        assert [r["kept"] for r in exact_dedup.deduplicate(spark.createDataFrame([(2, "a")], "doc_id long, text string"), again).collect()] == [False]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+    again.close()
+    before = spark.catalog.listTables()
+    exact_dedup.drop_duplicates(spark.createDataFrame([(2, "a")], "doc_id long, text string"))
+    assert len(spark.catalog.listTables()) == len(before)
+
+
+def test_exact_with_clashing_names(spark):
+    names = ["doc_id", "text", "__gone_id", "gone_id", "gone_digest", "key", "digest", "row", "n", "c0", "a`b"]
+    df = spark.createDataFrame([(i, "t", *range(9)) for i in range(5)], ", ".join(f"`{c.replace('`', '``')}` {'string' if c == 'text' else 'long'}" for c in names))
+    out = exact_dedup.drop_duplicates(df)
+    assert out.columns == names and [r["doc_id"] for r in out.collect()] == [4]
+
+
 def test_exact_ties_nulls_empty_and_clashes(spark, empty, clashing):
     assert exact_dedup.deduplicate(empty, index(spark)).count() == 0
     same = spark.createDataFrame([(7, "t"), (7, "t"), (None, "t"), (None, None), (None, "")], "doc_id long, text string")
