@@ -17,8 +17,9 @@ Equal sets are collapsed before all this: one representative per set goes on.
 
 Defined results: words are split at ASCII white space after A-Z are lowered; a text
 of one to four words is one shingle; a text without words (or null) has an empty
-set and links with nothing; rows that share an id are one node, linked with what
-any of them links with; a null id takes part as the least id. Shingles are compared
+set and links with nothing; texts of any length go whole; texts that share an id are
+documents of their own, and a component goes by the least id of its documents; a null
+id takes part as the least id. Shingles are compared
 by 64-bit hashes: two different ones are taken as equal with a chance of 5e-20.
 """
 
@@ -34,6 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sediment.llm.skew import heavy_keys, look_up, look_up_wide
 from sediment.session import staged
 
 WIDTH = 5
@@ -48,6 +50,8 @@ WORDS_KEPT = 200_000
 COUNTERS = 1 << 18
 #: Cells of ids: at most so many rows are broadcast to thin texts out before their exchange.
 CELLS = 1 << 20
+#: The node of a null id (its negative is a long too).
+NO_ID = 1 - (1 << 63)
 
 _seeds = np.random.RandomState(20240607)
 XORS = _seeds.randint(0, 1 << 63, REGISTERS, dtype=np.int64).astype(np.uint64)
@@ -121,12 +125,12 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size.append(len(s))
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
             regs.append(registers(s).tobytes() if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "digest", "n", "regs"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digest, pa.binary()), pa.array(size, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "text_key", "digest", "n", "regs"])
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, digest of its set (null if empty), n, regs (big-endian)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(_sketch, "doc_id long, digest binary, n long, regs binary")
+def sketches(docs: DataFrame) -> DataFrame:
+    """One row per document (doc_id, text, text_key): doc_id, text_key, digest of its set (null if empty), n, regs (big-endian)."""
+    return docs.select("doc_id", F.col("text").cast("binary").alias("text"), "text_key").mapInArrow(_sketch, "doc_id long, text_key long, digest binary, n long, regs binary")
 
 
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,12 +169,17 @@ def _confirmed(percent: int):
 def _verified(pairs: DataFrame, reps: DataFrame, pool: DataFrame, percent: int, name: str) -> DataFrame:
     """Those of the pairs (a < b) that are links: by likelihood first, then by their full sets."""
     r = reps.select("rep", "n", "regs")
-    both = pairs.join(r.toDF("a", "na", "ra"), "a").join(r.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
+    both = _both(pairs, r.toDF("a", "na", "ra"), r.toDF("b", "nb", "rb")).select("a", "b", "na", "nb", "ra", "rb")
     likely = staged(both.mapInArrow(_likely, "a long, b long"), f"{name}-likely")
-    met = likely.join(pool.toDF("a", "ta"), "a").join(pool.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    met = _both(likely, pool.toDF("a", "ta"), pool.toDF("b", "tb")).select("a", "b", "ta", "tb")
     return staged(met.mapInArrow(_confirmed(percent), "a long, b long"), f"{name}-links")
 
 
+def _both(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
+    """The pairs with what either end has; an end of many pairs is copied to parts of them."""
+    return look_up_wide(look_up_wide(pairs, of_a, "a", "b"), of_b, "b", "a")
+
+
 def _slot(found: np.ndarray) -> np.ndarray:
     return (found >> np.uint64(40)).astype(np.int64) % COUNTERS
 
@@ -239,12 +248,12 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     ends = links.select("a", "b").union(links.select("b", "a")).distinct()
     ends = staged(ends, f"{name}-ends")
     labels = staged(ends.groupBy(F.col("a").alias("rep")).agg(F.least(F.min("b"), F.first("a")).alias("label")), f"{name}-0")
-    turn = 0
+    turn, hot = 0, heavy_keys(ends, "b")
     while True:
         turn += 1
-        near = ends.join(labels.toDF("b", "there"), "b").groupBy("a").agg(F.min("there").alias("there"))
-        hooked = labels.join(near.withColumnRenamed("a", "rep"), "rep").select("rep", F.least("label", "there").alias("label"), F.col("label").alias("was"))
-        jumped = hooked.alias("x").join(hooked.select(F.col("rep").alias("at"), F.col("label").alias("on")), F.col("label") == F.col("at"), "left")
+        near = look_up(ends, labels.toDF("b", "there"), "b", hot).groupBy("a").agg(F.min("there").alias("there"))
+        hooked = staged(labels.join(near.withColumnRenamed("a", "rep"), "rep").select("rep", F.least("label", "there").alias("label"), F.col("label").alias("was")), f"{name}-hooked-{turn}")
+        jumped = look_up(hooked, hooked.select(F.col("rep").alias("label"), F.col("label").alias("on")), "label")  # a label is a node
         after = staged(jumped.select("rep", F.least("label", "on").alias("label"), "was"), f"{name}-{turn}")
         moved = after.where(F.col("label") != F.col("was")).limit(1).count()
         labels = after.select("rep", "label")
@@ -254,9 +263,32 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    rows = staged(sketches(docs, id_col, text_col), "sketches")
-    reps = staged(rows.where("digest is not null").groupBy("digest").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs")), "set-reps")
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("rep"), F.col(text_col).cast("binary").alias("text"))
+    return _grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _grouped(docs: DataFrame, percent: int) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, kept, by row of (doc_id, text)."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = staged(sketches(docs.withColumn("text_key", key)), "sketches")
+    names = rows.where("digest is not null").groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo < hi").select(F.col("doc_id").alias("named"))
+    names = staged(names, "names-of-several")
+    several = names.limit(1).count() > 0
+    least = F.lit(NO_ID)
+    if several:  # texts that share an id: each is a node with a number of its own, below all ids
+        texts = rows.join(names, F.col("doc_id").eqNullSafe(F.col("named")), "left_semi").select("doc_id", "text_key").distinct()
+        numbers = staged(texts.select(F.col("doc_id").alias("of"), F.col("text_key").alias("of_key"), (F.monotonically_increasing_id() - (1 << 62)).alias("number")), "numbers-of-several")
+
+        def noded(df: DataFrame) -> DataFrame:
+            met = df.join(numbers, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("text_key") == F.col("of_key")), "left")
+            return met.withColumn("node", F.coalesce("number", "doc_id", least)).drop("of", "of_key", "number")
+    else:
+
+        def noded(df: DataFrame) -> DataFrame:
+            return df.withColumn("node", F.coalesce("doc_id", least))
+
+    rows = noded(rows)
+    reps = staged(rows.where("digest is not null").groupBy("digest").agg(F.min("node").alias("rep"), F.min(F.coalesce("doc_id", least)).alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "set-reps")
+    texts = noded(docs.withColumn("text_key", key)).select(F.col("node").alias("rep"), F.col("text").cast("binary").alias("text"))
 
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.substring(F.col("regs"), i * (2 * ROWS) + 1, F.lit(2 * ROWS)).alias("key")))
     placed = reps.select("rep", F.explode(bands).alias("x")).select("rep", "x.band", "x.key")
@@ -280,19 +312,27 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     if more.limit(1).count():
         labels = components(links.union(more), "all-components")
 
-    node = rows.withColumn("node", F.coalesce("doc_id", F.lit(-(1 << 63))))
-    named = reps.join(labels, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    found = node.join(named, "digest", "left").select("doc_id", "n", F.coalesce("component", "node").alias("c"), "node")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c") == -(1 << 63), F.lit(None)).otherwise(F.col("c")).alias("component_id"), (F.col("c") == F.col("node")).alias("kept"))
+    named = reps.join(labels, "rep", "left").select("digest", "id", F.coalesce("component", "rep").alias("component"))
+    if several:  # components go by the least id of their documents
+        ids = named.groupBy("component").agg(F.min("id").alias("least_id"))
+        named = look_up(named, staged(ids, "component-ids"), "component").select("digest", F.col("least_id").alias("component"))
+    own = F.coalesce("doc_id", least)
+    some = look_up(rows.where("digest is not null"), staged(named, "named-sets"), "digest").select("doc_id", "text_key", "n", "component")
+    both = some.unionByName(rows.where("digest is null").select("doc_id", "text_key", "n", F.lit(None).cast("long").alias("component")))
+    found = both.withColumn("c", F.coalesce("component", own))
+    return found.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("c") == least, F.lit(None)).otherwise(F.col("c")).alias("component_id"), (F.col("c") == own).alias("kept"))
 
 
-#: Dropped ids that may be broadcast to the scan that filters the texts.
+#: Dropped rows that may be broadcast to the scan that filters the texts.
 BROADCAST_ROWS = 1_000_000
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, with the columns of ``docs``; documents without words all stay."""
-    found = staged(near_duplicates(docs, percent, id_col, text_col), "near-duplicates")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
+    """The documents that are kept, with the columns of ``docs``; documents without words all stay, and so do rows that share a kept id and text."""
+    found = staged(_grouped(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), percent), "near-duplicates")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone"), F.col("text_key").alias("gone_key")).distinct()
     gone = F.broadcast(gone) if found.where(~F.col("kept")).count() <= BROADCAST_ROWS else gone.hint("merge")
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # no column of ``docs`` meets a helper column by name
+    plain = docs.toDF(*at.values())
+    same = F.col(at[id_col]).cast("long").eqNullSafe(F.col("gone")) & (F.xxhash64(F.coalesce(at[text_col], F.lit(""))) == F.col("gone_key"))
+    return plain.join(gone, same, "left_anti").select(*[F.col(c).alias(name) for name, c in at.items()])

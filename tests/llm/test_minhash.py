@@ -3,9 +3,8 @@ import re
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
 
-from sediment.llm import minhash
+from sediment.llm import minhash, skew
 from tests.llm.conftest import prose
 
 
@@ -97,4 +96,49 @@ def test_components(spark):
 def test_registers_bucket_as_documented():
     assert minhash.REGISTERS == minhash.BANDS * minhash.ROWS
     assert (1 - 0.75**minhash.ROWS) ** minhash.BANDS < 1e-5
-    assert F is not None
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    rng = random.Random(8)
+    one, two = prose(rng, 80), prose(rng, 90)
+    near = one + " more"
+    rows = [(3, one), (5, near), (5, two), (None, two + " end"), (7, near), (7, near), (None, ""), (5, " ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect()}
+    n = len(minhash.shingles(one.encode(), minhash.WordHashes()))
+    assert got == {(3, n, 3, True), (5, n + 1, 3, False), (7, n + 1, 3, False), (5, 86, None, False), (None, 87, None, True), (None, 0, None, True), (5, 0, 5, True)}
+    left = minhash.drop_near_duplicates(df).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"]) for r in left) == sorted([(3, one), (0, two + " end"), (0, ""), (5, " ")])
+
+
+def test_clashing_names(spark):
+    names = ["doc_id", "text", "__gone", "gone", "gone_key", "text_key", "node", "rep", "component", "c0", "a`b"]
+    df = spark.createDataFrame([(i, "the same text of more than five words", *range(9)) for i in range(4)], ", ".join(f"`{c.replace('`', '``')}` {'string' if c == 'text' else 'long'}" for c in names))
+    out = minhash.drop_near_duplicates(df)
+    assert out.columns == names and [tuple(r)[2:] for r in out.collect()] == [tuple(range(9))]
+
+
+def test_hot_keys_are_split(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 5)
+    links = [(1, 1 + k) for k in range(1, 400)] + [(1000 + k, 2000) for k in range(300)] + [(2000, 3000)]
+    got = {r["rep"]: r["component"] for r in minhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {k: 1 for k in range(1, 401)} | {1000 + k: 1000 for k in range(300)} | {2000: 1000, 3000: 1000}
+    many = spark.createDataFrame([(1 if k % 2 else k, k) for k in range(500)], "a long, b long")
+    one = spark.range(500).selectExpr("id a", "concat('x', id) t")
+    heavy = skew.heavy_keys(many, "a").collect()
+    assert [r["a"] for r in heavy] == [1] and heavy[0]["parts"] > 1
+    for met in (skew.look_up(many, one, "a"), skew.look_up_wide(many, one, "a", "b")):
+        assert sorted((r["a"], r["b"], r["t"]) for r in met.select("a", "b", "t").collect()) == sorted((1 if k % 2 else k, k, f"x{1 if k % 2 else k}") for k in range(500))
+
+
+def test_group_of_near_copies_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(skew, "LEAST", 5)
+    rng = random.Random(21)
+    base, rows = prose(rng, 100).split(), []
+    for _ in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(4)):
+            words[rng.randrange(len(words))] = f"w{rng.randrange(10**6)}"
+        rows.append(" ".join(words))
+    rows += [prose(rng, 80) for _ in range(30)]
+    check(spark, list(enumerate(rows)))
