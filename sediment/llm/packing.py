@@ -2,17 +2,17 @@
 
 Every task tokenizes its documents and packs their pieces best-fit (longest
 first). Bins within ``slack`` of full are final; the others go on as items, with
-their contents, to an eighth as many tasks, which pack them best-fit again (or
-their pieces, where that needs fewer bins), until one task would be left or tasks
-would hold more than ``TASK_ROWS`` pieces. Each round is written to the shared
-folder before the next begins.
+their contents, to an eighth as many tasks, which pack the bins best-fit again, until one
+task would be left or tasks would hold more than ``TASK_ROWS`` pieces. Each round is
+written to the shared folder before the next begins.
 
 A document is its ids and one end id. Longer ones than the capacity are cut from
 the back, so the first piece is the short one; full pieces are bins at once.
 
 Defined results: a null text is empty and makes one piece of the end id; rows that
-share an id are documents of their own; the string of a special token is that token; an empty table gives an empty result;
-bytes that aren't UTF-8 are replaced as Python's decoder does.
+share an id are documents of their own; the string of a special token is that token;
+a text of any length or of one long run is tokenized whole; an empty table gives an
+empty result; bytes that aren't UTF-8 are replaced as Python's decoder does.
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def _packed(rows: list[tuple], at: int, capacity: int) -> tuple[pa.Table, int]:
 
 
 def _merge(level: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Underfull bins as items, each moving as one; or their pieces, where that needs fewer bins."""
+    """Underfull bins as items, each moving as one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -142,9 +142,6 @@ def _merge(level: int, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], It
         _, first, item = np.unique(t["bin"].to_numpy(), return_index=True, return_inverse=True)
         sizes, inside = t["fill"].to_numpy()[first], t["offset"].to_numpy()
         bin_of, offset = best_fit(sizes, capacity)
-        apart = best_fit(t["length"].to_numpy(), capacity)
-        if apart[0].max() < bin_of.max():  # the bins' pieces, packed anew, need fewer
-            sizes, inside, item, (bin_of, offset) = t["length"].to_numpy(), np.zeros(t.num_rows, np.int64), np.arange(t.num_rows), apart
         fill = np.bincount(bin_of, weights=sizes).astype(np.int64)
         new = {"bin": bin_of[item] + _first_id(level), "offset": inside + offset[item], "fill": fill[bin_of[item]]}
         for name, values in new.items():

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sediment.llm import mixing, packing
@@ -176,9 +177,29 @@ def test_packing_merges_across_tasks(spark):
     assert len({r["sequence_id"] for r in rows}) <= 1.05 * alone + 1
 
 
+def test_merging_moves_bins_whole(monkeypatch):
+    monkeypatch.setattr(packing, "_first_id", lambda level: level << 58)
+    rng = np.random.RandomState(5)
+    rows = [(i, 0, 0, int(n), 7) for i, n in enumerate(rng.randint(1, 500, 200))]
+    table = pa.concat_tables([packing._packed(rows[:100], 0, 1024)[0], packing._packed(rows[100:], 1000, 1024)[0]])
+    merged = pa.Table.from_batches(packing._merge(1, 1024)(iter(table.to_batches())))
+    old = defaultdict(dict)
+    for r in table.to_pylist():
+        old[r["bin"]][r["doc_id"]] = r["offset"]
+    new = {r["doc_id"]: (r["bin"], r["offset"], r["fill"]) for r in merged.to_pylist()}
+    for held in old.values():
+        assert len({new[d][0] for d in held}) == 1 and len({new[d][1] - at for d, at in held.items()}) == 1
+    by_bin = defaultdict(list)
+    for (d, *_), (b, at, fill) in zip(rows, (new[r[0]] for r in rows)):
+        by_bin[b].append((at, rows[d][3], fill))
+    for held in by_bin.values():
+        held.sort()
+        assert held[0][0] == 0 and all(a + n == b for (a, n, _), (b, *_) in zip(held, held[1:])) and sum(n for _, n, _ in held) == held[0][2] <= 1024
+
+
 def test_packing_edges(spark, empty, clashing):
     assert pieces(empty) == []
-    odd = spark.createDataFrame([(1, None), (1, ""), (2, "a" * 20_000), (3, " " * 20_000), (4, "<|endoftext|>"), (None, "x")], "doc_id long, text string")
+    odd = spark.createDataFrame([(1, None), (1, ""), (2, "a" * 20_000), (3, " " * 1_000_000), (4, "<|endoftext|>"), (None, "x")], "doc_id long, text string")
     rows = pieces(odd)
     assert len([r for r in rows if r["doc_id"] == 1]) == 2 and all(r["length"] == 1 for r in rows if r["doc_id"] == 1)
     assert len({r["doc_id"] for r in rows}) == 5
