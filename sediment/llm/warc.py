@@ -2,15 +2,17 @@
 
 Archives are written by Spark's text sink with CR LF CR LF between rows, which is
 the end mark of a WARC record, so the commit protocol and any Hadoop file system
-serve as they do for tables. They are read as whole files of bounded record count
-and parsed by Content-Length. Request and metadata records name their response in
+serve as they do for tables. They are read as whole files and parsed by
+Content-Length; a file holds so few records that its bytes are bounded: RECORDS_PER_FILE
+where payloads are small, those of one capture where they are LARGE. Request and metadata records name their response in
 WARC-Concurrent-To (or the response names them); the assembly joins them to one
 nested row per capture. A revisit record stands for a payload that an earlier
 response holds; WARC-Refers-To names it.
 
 Defined results: a null payload is empty; of equal payloads the smallest page_id
 (null first) is written as response, other ids as revisits; rows that share id and
-payload are captures of the same kind; a record without partners makes a capture
+payload are captures of the same kind; payloads are written whole, whatever their length
+below Spark's 2 GiB a cell; a record without partners makes a capture
 with empty lists; an empty table makes an empty archive.
 """
 
@@ -25,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sediment.llm.skew import HEAVY, look_up
 from sediment.session import scratch_path, staged
 
 CRLF = "\r\n"
 #: Fixed values of RFC 4648's base-32 alphabet, beside the digits of base 32 as conv() writes them.
 DIGITS, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-RECORDS_PER_FILE = 30_000
+#: Bytes from which a payload gets files of its own capture; below, a file has at most 256 MB.
+LARGE = 1 << 18
+RECORDS_PER_FILE = 3_000
 #: Payloads with copies that may be broadcast (about 60 bytes each).
 BROADCAST_ROWS = 200_000
 NO_ID = -(1 << 63)
@@ -67,10 +72,13 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         F.regexp_replace(F.coalesce(F.col(url_col), F.lit("about:blank")), r"[\x00-\x20]", "%20").alias("url"),
         html.alias("html"), base32_sha1(html).alias("digest"), F.octet_length(html).cast("long").alias("n"),
     )
-    copies = rows.where(F.col("n") >= smallest).groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("c")).where("c > 1").select("digest", "first_id")
+    copies = rows.where(F.col("n") >= smallest).groupBy("digest").agg(F.min("id").alias("first_id"), F.count("*").alias("c")).where("c > 1")
     copies = staged(copies, "payload-copies")
-    few = copies.count() <= BROADCAST_ROWS
-    met = rows.join(F.broadcast(copies) if few else copies.hint("merge"), "digest", "left")
+    if copies.count() <= BROADCAST_ROWS:
+        met = rows.join(F.broadcast(copies.select("digest", "first_id")), "digest", "left")
+    else:  # a payload that many pages have meets its first page by broadcast
+        heavy = F.broadcast(copies.where(F.col("c") * HEAVY > rows.count()).select("digest", "first_id"))
+        met = rows.join(heavy, "digest").unionByName(rows.join(heavy, "digest", "left_anti").join(copies.select("digest", "first_id").hint("merge"), "digest", "left"))
     revisit = F.coalesce(F.col("first_id") < F.col("id"), F.lit(False)) & (F.col("n") >= smallest)
 
     own = _uuid(F.lit("response"), F.col("id").cast("string"), F.col("digest"))
@@ -89,8 +97,11 @@ def write_archives(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00
         _record(F.lit("request"), _uuid(F.lit("request"), F.col("id").cast("string"), F.col("digest"), target), target, date, [link], F.concat(msg, F.lit("request")), request),
         _record(F.lit("metadata"), _uuid(F.lit("metadata"), F.col("id").cast("string"), F.col("digest"), target), target, date, [link], F.lit("application/warc-fields"), metadata),
     )
-    lines = met.select(F.explode(records).alias("value"))
-    lines.write.option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    for large, most in ((False, RECORDS_PER_FILE), (True, 3)):
+        part = met.where((F.col("n") >= LARGE) == large)
+        if large and not rows.where(F.col("n") >= LARGE).limit(1).count():
+            break
+        part.select(F.explode(records).alias("value")).write.mode("append" if large else "errorifexists").option("lineSep", CRLF + CRLF).option("compression", "gzip").option("maxRecordsPerFile", most).text(path)
 
 
 class _Stream:
@@ -216,8 +227,11 @@ def page_report(captures: DataFrame) -> DataFrame:
         F.col("response.payload_digest").alias("payload_digest"), F.col("response.type").alias("record_type"), F.col("response.refers_to").alias("__to"), F.col("response.digest_ok").alias("digest_ok"),
     )
     rows = staged(rows, "captures")
-    origin = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("__to")).agg(F.min("page_id").alias("refers_to"))
-    return rows.join(origin, "__to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
+    origin = staged(rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("__to")).agg(F.min("page_id").alias("refers_to")), "origins")
+    named = rows.where("__to is not null")
+    met = look_up(named, origin, "__to").unionByName(named.join(origin, "__to", "left_anti").withColumn("refers_to", F.lit(None).cast("long")))
+    both = met.unionByName(rows.where("__to is null").withColumn("refers_to", F.lit(None).cast("long")))
+    return both.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "digest_ok")
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:

@@ -6,7 +6,7 @@ import importlib
 import pytest
 from pyspark.sql import functions as F
 
-from sediment.llm import packing, warc
+from sediment.llm import packing, skew, warc
 from sediment.session import scratch_path
 from tests.llm.test_minhash import brute
 
@@ -38,6 +38,21 @@ def test_round_trip_against_brute_force(pages):
         assert g["refers_to"] == (None if own else first[body][1])
 
 
+def test_large_payloads_and_many_copies(spark, pages, monkeypatch):
+    want = sorted(map(str, warc.round_trip(pages).collect()))
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(warc, "HEAVY", 5)
+    monkeypatch.setattr(skew, "LEAST", 5)
+    assert sorted(map(str, warc.round_trip(pages).collect())) == want
+    monkeypatch.setattr(warc, "LARGE", 60)
+    monkeypatch.setattr(warc, "RECORDS_PER_FILE", 6)
+    path = scratch_path(spark, "test-warc")
+    warc.write_archives(pages, path)
+    files = [list(warc.parse(bytes(r["content"]))) for r in spark.read.format("binaryFile").load(path).collect()]
+    assert all(len(f) <= 6 and (len(f) <= 3 or all((r[8] or 0) < 60 for r in f)) for f in files) and sum(map(len, files)) == 3 * pages.count()
+    assert sorted(map(str, warc.round_trip(pages).collect())) == want
+
+
 def test_smaller_payloads_are_all_responses(spark):
     df = spark.createDataFrame([(1, "u", "ab"), (2, "u", "ab"), (3, "u", "abcdef"), (4, "u", "abcdef")], PAGES)
     kinds = {r["page_id"]: r["record_type"] for r in warc.round_trip(df, smallest=4).collect()}
@@ -100,7 +115,9 @@ def test_pipeline_stages(spark, docs, corpus, tmp_path, clashing):
     rows = corpus_pipeline.STAGES[-1][1](spark, kept, "").collect()
     assert {r["doc_id"] for r in rows} == set(apart)
     assert len(rows) == sum(len(packing.cuts(len(packing.encoder(packing.VOCABULARY)(texts[i])) + 1, 1024)) for i in mixed)
+    names = ["blocks", "nth", "__s", "__part", "__share", "__laid", "__gone", "__gone_id", "key", "gone", "c0", "node", "a`b"]
+    wide = clashing.withColumns({c.replace("`", "``") if "`" in c else c: F.lit(1) for c in names if "`" not in c}).withColumnRenamed("c0", "a`b")
     for _, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, clashing, "").columns == clashing.columns
+        assert stage(spark, wide, "").columns == wide.columns and stage(spark, wide, "").count() >= 0
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
