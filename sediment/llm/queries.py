@@ -90,6 +90,38 @@ def op6_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+OP6_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(v ORDER BY b) AS crc_of FROM (
+    SELECT b, list_reduce([b] || [CAST(0 AS BIGINT) FOR k IN range(0, 8)], lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, CAST(3988292384 AS BIGINT)) ELSE x >> 1 END) AS v FROM (SELECT unnest(range(0, 256)) AS b))
+), docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) + 1 AS size FROM documents
+), sums AS (
+  SELECT doc_id, size, xor(list_reduce([CAST(4294967295 AS BIGINT)] || [CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS BIGINT) FOR i IN range(0, length(h) // 2)],
+                                       lambda c, y: xor(crc_of[(xor(c, y) & 255) + 1], c >> 8)), CAST(4294967295 AS BIGINT)) AS crc FROM docs, tab
+), numbered AS (
+  SELECT doc_id, size, crc, row_number() OVER (ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS row FROM sums
+), law AS (
+  SELECT n, halves, CAST((CAST(1 AS BIGINT) << halves) - 1 AS BIGINT) AS low,
+         [CAST((CAST(20240229 AS HUGEINT) * 2654435761 + k * 40503 + 12345) % 4294967296 AS BIGINT) FOR k IN range(1, 7)] AS keys
+  FROM (SELECT count(*) AS n, greatest(1, (length(bin(greatest(count(*) - 1, 1))) + 1) // 2) AS halves FROM numbered)
+), walk AS (
+  SELECT row, row >> halves AS l, row & low AS r, 0 AS s FROM numbered, law
+  UNION ALL
+  SELECT row, r, xor(l, z & low), s + 1 FROM (
+    SELECT row, l, r, s, low, xor(y, y >> 13) AS z FROM (
+      SELECT row, l, r, s, low, CAST(CAST(xor(x, x >> 15) AS HUGEINT) * 2654435761 % 4294967296 AS BIGINT) AS y FROM (
+        SELECT row, l, r, s, low, CAST(CAST(xor(r, keys[s + 1]) AS HUGEINT) * 2654435761 % 4294967296 AS BIGINT) AS x FROM (
+          SELECT row, CASE WHEN s = 6 THEN r ELSE l END AS l, CASE WHEN s = 6 THEN l ELSE r END AS r, s % 6 AS s, low, keys
+          FROM walk, law WHERE s < 6 OR (r << halves) + l >= n))))
+), placed AS (
+  SELECT row, (r << halves) + l AS place FROM walk, law WHERE s = 6 AND (r << halves) + l < n
+)
+SELECT doc_id, size, crc AS text_crc32, 'rows' AS law, CAST(place % 8 AS INT) AS shard, place // 8 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM numbered JOIN placed USING (row)
+"""
+
+
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -151,6 +183,28 @@ def op9_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
+), sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 3))) AS i FROM d WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM shared JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * k >= 75 * (x.n + y.n - k)
+), ends AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS a, doc_id AS c FROM d UNION SELECT ends.b, reach.c FROM reach JOIN ends ON ends.a = reach.a WHERE reach.c < ends.b
+), least AS (
+  SELECT a AS doc_id, min(c) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN sizes USING (doc_id)
+"""
+
+
 def op10_warc_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("digest_ok")
 
@@ -183,4 +237,4 @@ QUERIES = {
     "op9_setsketch_dedup": op9_setsketch_dedup,
     "op10_warc_assembly": op10_warc_assembly,
 }
-SQL = {"op2_exact_dedup": OP2_SQL, "op4_pfair_mixing": OP4_SQL, "op5_quality_rules": OP5_SQL, "op10_warc_assembly": OP10_SQL}
+SQL = {"op2_exact_dedup": OP2_SQL, "op4_pfair_mixing": OP4_SQL, "op5_quality_rules": OP5_SQL, "op6_feistel_sharding": OP6_SQL, "op9_setsketch_dedup": OP9_SQL, "op10_warc_assembly": OP10_SQL}
