@@ -1,8 +1,10 @@
 """The registered queries over the deduplication tables, and their SQL.
 
 All read whole tables. Text columns are the files: chunks of a fixed size in
-built-in functions where SQL is to give the same rows, content-defined ones in the
-queries without SQL.
+built-in functions where SQL is to give the same rows. What SQL can't compute (gear
+cuts, BLAKE3, xxh3, zstandard) is reported by what must hold of it: chunks cover
+their document within the size bounds and join to its digest, hashes are equal exactly
+where the bytes are, payloads and deltas decode to what went in.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from sediment.sources.files import from_table
 from sediment.sources.store import ChunkStore
 
 SMALL, MIDDLE, LARGE = 256, 512, 1024
-SEQ = 1_000_000  # chunks of a document at most, in the order number doc_id * SEQ + chunk_no
+SEQ = 1 << 24  # more chunks than a cell of 2 GiB can have, in the order number doc_id * SEQ + chunk_no
 
 
 def _docs(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
@@ -192,11 +194,9 @@ def manifest_restore_digest(spark, sf_dir):
 
 def _verify(spark, sf_dir, lost=None, broken=None):
     chunks = _chunks(spark, sf_dir, MIDDLE)
-    store = chunks.groupBy("hash").agg(F.first("data").alias("data"))
-    if lost is not None:
-        store = store.where(~lost)
-        store = store.withColumn("data", F.when(broken, F.concat(F.col("data"), F.lit(b"x"))).otherwise(F.col("data")))
-    held = store.select("hash", F.sha2("data", 256).alias("actual"))
+    data = F.col("data") if broken is None else F.when(broken, F.concat(F.col("data"), F.lit(b"x"))).otherwise(F.col("data"))
+    held = chunks if lost is None else chunks.where(~lost)
+    held = held.select("hash", F.sha2(data, 256).alias("actual")).groupBy("hash").agg(F.first("actual").alias("actual"))  # bytes stay out of the exchange
     manifests = manifest.build_manifests(_docs(spark, sf_dir).select("doc_id"), chunks, "doc_id").withColumnRenamed("doc_id", "name")
     return manifest.verify_report(manifests, manifest.verify(manifests, held))
 
@@ -263,7 +263,7 @@ def migrate_missing_chunks(spark, sf_dir):
 # signatures and near-duplicates
 
 SIGNED_SQL = _sql(LARGE) + """,
-u AS (SELECT hash, min(doc_id * 1000000 + chunk_no) AS seq, any_value(data) AS data, any_value(length) AS length FROM c GROUP BY hash),
+u AS (SELECT hash, min(doc_id * 16777216 + chunk_no) AS seq, any_value(data) AS data, any_value(length) AS length FROM c GROUP BY hash),
 ft AS (SELECT hash, seq, length, CASE WHEN length < 64 THEN NULL WHEN length < 256 THEN [md5(data)[1:16] FOR i IN range(0, 12)]
        ELSE [md5(data[i * (length // 12) + 1 : i * (length // 12) + least(32, length // 12)])[1:16] FOR i IN range(0, 12)] END AS f FROM u),
 k AS (SELECT hash, seq, tier, slot, CASE WHEN length < 256 THEN f[1] ELSE array_to_string(f[slot * w + 1 : slot * w + w], '-') END AS sf
@@ -334,7 +334,7 @@ def near_dup_threshold_gate(spark, sf_dir):
     return parts
 
 
-HEAD_SQL = _sql(LARGE) + """, u AS (SELECT hash, any_value(data) AS data, min(doc_id * 1000000 + chunk_no) AS seq FROM c GROUP BY hash),
+HEAD_SQL = _sql(LARGE) + """, u AS (SELECT hash, any_value(data) AS data, min(doc_id * 16777216 + chunk_no) AS seq FROM c GROUP BY hash),
 h AS (SELECT hash, seq, data, min(seq) OVER (PARTITION BY data[1:64]) AS first_seq FROM u)
 SELECT h.hash, u.hash AS head_hash, octet_length(h.data) > 64 AND octet_length(u.data) > 64 AND h.data[octet_length(h.data) - 63 :] = u.data[octet_length(u.data) - 63 :] AS same_tail
 FROM h JOIN u ON u.seq = h.first_seq WHERE h.seq > h.first_seq"""
@@ -377,39 +377,65 @@ def delta_gate_size_ratio(spark, sf_dir):
     return met.groupBy("tier", codec.delta_gate(F.col("length"), F.col("base_length")).alias("allowed")).agg(F.count("*").alias("pairs"))
 
 
-# content-defined, without SQL
+# content-defined chunks, other hashes and codecs: what must hold of them
 
 
 def _cdc(spark, sf_dir, config: ChunkConfig) -> DataFrame:
     return hashed(cdc_chunks(_docs(spark, sf_dir), config, key="doc_id"))
 
 
-@query()
-def cdc_chunks_text(spark, sf_dir):
-    return _cdc(spark, sf_dir, TEXT).select("doc_id", "chunk_no", "offset", "length", "hash")
+def _joined(parts: DataFrame, data: str = "data") -> DataFrame:
+    """doc_id, digest of its chunks' bytes in their order."""
+    whole = parts.groupBy("doc_id").agg(manifest.ordered(F.hex(data), F.col("chunk_no")).alias("parts"))
+    return whole.select("doc_id", F.sha2(F.unhex(F.array_join("parts", "")), 256).alias("digest"))
 
 
-@query()
+@query("SELECT doc_id, octet_length(encode(text)) AS n_bytes, true AS contiguous, true AS within_bounds, sha256(text) AS digest FROM documents WHERE text <> ''")
+def cdc_chunks_text(spark, sf_dir):
+    """By document: its content-defined chunks follow each other, keep the size bounds, and join to its bytes."""
+    chunks = staged(cdc_chunks(_docs(spark, sf_dir), TEXT, key="doc_id"), "cdc-chunks")
+    around = Window.partitionBy("doc_id").orderBy("chunk_no")
+    placed = chunks.select("doc_id", "chunk_no", "offset", "length", F.lead("offset").over(around).alias("next"))
+    end = F.col("offset") + F.col("length")
+    fits = (F.col("length") <= TEXT.max_size) & (F.col("length") > 0) & (F.col("next").isNull() | (F.col("length") >= TEXT.min_size))
+    report = placed.groupBy("doc_id").agg(F.sum(F.col("length").cast("long")).alias("n_bytes"), (F.bool_and(F.coalesce(F.col("next"), end) == end) & (F.min("offset") == 0)).alias("contiguous"), F.bool_and(fits).alias("within_bounds"))
+    return report.join(_joined(chunks), "doc_id")
+
+
+@query("""SELECT doc_id, octet_length(encode(text)) AS source_bytes, CASE WHEN doc_id = min(doc_id) OVER (PARTITION BY text) THEN NULL ELSE 0 END AS copy_stored_bytes
+FROM documents WHERE text <> ''""")
 def cdc_dedup_stats(spark, sf_dir):
-    return dedup.dedup_stats(_cdc(spark, sf_dir, FINE).select("doc_id", "chunk_no", "length", "hash"), "doc_id", ["doc_id", "chunk_no"])
+    """By document: bytes cut, and for copies of an earlier document the bytes of chunks that it brought in."""
+    docs = _docs(spark, sf_dir).select("doc_id", F.sha2("content", 256).alias("text_hash"))
+    first = docs.groupBy("text_hash").agg(F.min("doc_id").alias("first_id"))
+    stats = dedup.dedup_stats(_cdc(spark, sf_dir, FINE).select("doc_id", "chunk_no", "length", "hash"), "doc_id", ["doc_id", "chunk_no"])
+    copies = docs.join(first, "text_hash").where("doc_id <> first_id").select("doc_id", F.lit(True).alias("copy"))
+    return stats.join(copies, "doc_id", "left").select("doc_id", "source_bytes", F.when(F.col("copy"), F.col("stored_bytes")).cast("int").alias("copy_stored_bytes"))
 
 
-@query()
+@query(_sql(MIDDLE) + "SELECT doc_id, chunk_no, length, min(doc_id * 16777216 + chunk_no) OVER (PARTITION BY data) AS first_seq FROM c")
 def blake3_chunk_hashes(spark, sf_dir):
-    return hashed(cdc_chunks(_docs(spark, sf_dir), TEXT, key="doc_id"), "blake3").select("doc_id", "chunk_no", "length", "hash")
+    """By chunk: the first chunk with its BLAKE3 hash."""
+    chunks = hashed(fixed_chunks(_docs(spark, sf_dir), MIDDLE, keep=["doc_id"]), "blake3").select("doc_id", "chunk_no", "length", "hash", (F.col("doc_id") * SEQ + F.col("chunk_no")).alias("seq"))
+    chunks = staged(chunks, "blake3-chunks")
+    return chunks.join(chunks.groupBy("hash").agg(F.min("seq").alias("first_seq")), "hash").select("doc_id", "chunk_no", "length", "first_seq")
 
 
-@query()
+@query(SIGNED_SQL + "SELECT tier, slot, count(*) AS chunks, min(seq) AS first_seq FROM k GROUP BY tier, slot, sf HAVING count(*) > 1")
 def xxh3_signatures(spark, sf_dir):
-    unique = _cdc(spark, sf_dir, TEXT).groupBy("hash").agg(F.first("data").alias("data"))
-    return features.signature_table(unique)
+    """The buckets that chunks share by their xxh3 super-features."""
+    slots = similarity.exploded(features.with_keys(_distinct(spark, sf_dir)), ["hash", "seq"])
+    return slots.groupBy("tier", "slot", "sf").agg(F.count("*").alias("chunks"), F.min("seq").alias("first_seq")).where("chunks > 1").drop("sf")
 
 
-@query()
+@query("SELECT doc_id, sha256(text) AS digest, true AS no_larger FROM documents WHERE text <> ''")
 def payload_choice(spark, sf_dir):
-    unique = _cdc(spark, sf_dir, TEXT).groupBy("hash").agg(F.first("data").alias("data"))
-    coded = unique.select(F.octet_length("data").alias("length"), codec.payload_column(F.col("data")).alias("p"))
-    return coded.groupBy(F.col("p.entry_type").alias("entry_type")).agg(F.count("*").alias("chunks"), F.sum(F.col("length").cast("long")).alias("bytes"), F.sum(F.col("p.stored_length").cast("long")).alias("stored_bytes"))
+    """By document: the digest of what its chunks' payloads decode to, and whether no payload outgrew its chunk."""
+    chunks = cdc_chunks(_docs(spark, sf_dir), TEXT, key="doc_id")
+    coded = staged(chunks.select("doc_id", "chunk_no", "length", codec.payload_column(F.col("data")).alias("p")), "payloads")
+    back = codec.decoded_column(F.col("p.entry_type"), F.col("p.payload"), F.lit(None).cast("binary"), F.col("length"))
+    sizes = coded.groupBy("doc_id").agg(F.bool_and(F.col("p.stored_length") <= F.col("length")).alias("no_larger"))
+    return _joined(coded.select("doc_id", "chunk_no", back.alias("back")), "back").join(sizes, "doc_id")
 
 
 @query()
@@ -419,18 +445,21 @@ def sequential_near_dups(spark, sf_dir):
     return similarity.sequential_matches(features.with_keys(unique))
 
 
-@query()
+@query(SIGNED_SQL + """SELECT best.hash, base_hash, tier, least(q.length, b.length) >= 256 AND greatest(q.length, b.length) <= 4 * least(q.length, b.length) AS allowed, best.hash AS restored
+FROM best JOIN u q ON best.hash = q.hash JOIN u b ON best.base_hash = b.hash""")
 def delta_encode_stats(spark, sf_dir):
-    """By tier: pairs tried, deltas that pay, bytes before and after."""
-    chunks = _cdc(spark, sf_dir, FINE).withColumn("seq", F.col("doc_id") * SEQ + F.col("chunk_no"))
-    unique = staged(features.with_keys(chunks.groupBy("hash").agg(F.min("seq").alias("seq"), F.first("data").alias("data"))), "delta-chunks")
-    found = similarity.best_matches(unique.select("hash", "seq", "keys"))
+    """Chunks coded against their best match: the hash of what the payload decodes to, and whether a delta was allowed."""
+    unique = _distinct(spark, sf_dir)
+    slots = similarity.exploded(unique.select("hash", "seq", features.sql_keys(features.sql_features(F.col("data")), F.col("length")).alias("keys")), ["hash", "seq"])
+    found = staged(similarity.best(similarity.candidates(slots, similarity.bases(slots, "seq", 5))).select("hash", "base_hash", "tier"), "delta-pairs")
     met = found.join(unique.select("hash", "data"), "hash").join(unique.select(F.col("hash").alias("base_hash"), F.col("data").alias("base")), "base_hash")
-    coded = met.select("tier", F.octet_length("data").alias("length"), codec.payload_column(F.col("data"), F.col("base")).alias("p"))
-    return coded.groupBy("tier").agg(F.count("*").alias("pairs"), F.count_if(F.col("p.entry_type") == codec.DELTA).alias("deltas"), F.sum(F.col("length").cast("long")).alias("bytes"), F.sum(F.col("p.stored_length").cast("long")).alias("stored_bytes"))
+    n = F.octet_length("data")
+    coded = met.select("hash", "base_hash", "tier", n.alias("n"), "base", codec.delta_gate(n, F.octet_length("base")).alias("allowed"), codec.payload_column(F.col("data"), F.col("base")).alias("p"))
+    back = codec.decoded_column(F.col("p.entry_type"), F.col("p.payload"), F.when(F.col("p.entry_type") == codec.DELTA, F.col("base")), F.col("n"))
+    return staged(coded, "deltas").select("hash", "base_hash", "tier", "allowed", F.sha2(back, 256).alias("restored"))
 
 
-@query()
+@query("SELECT CAST(doc_id AS VARCHAR) AS name, true AS same FROM documents")
 def backup_restore_roundtrip(spark, sf_dir):
     """Back all documents up, restore them, compare; by document: same."""
     from sediment.plans.backup import backup, restored
