@@ -32,10 +32,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sediment.llm.skew import heavy_keys, look_up, look_up_wide
+from sediment.llm.skew import HEAVY, heavy_keys, look_up, look_up_wide
 from sediment.session import staged
 
 WIDTH = 5
@@ -46,8 +46,6 @@ BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 #: Pairs whose likelihood peaks below this aren't verified (6 deviations from 0.75).
 LEAST_ESTIMATE = 0.5
 WORDS_KEPT = 200_000
-#: Counters of shingle frequency. They only order shingles, so collisions cost candidates, not links.
-COUNTERS = 1 << 18
 #: Cells of ids: at most so many rows are broadcast to thin texts out before their exchange.
 CELLS = 1 << 20
 #: The node of a null id (its negative is a long too).
@@ -180,47 +178,43 @@ def _both(pairs: DataFrame, of_a: DataFrame, of_b: DataFrame) -> DataFrame:
     return look_up_wide(look_up_wide(pairs, of_a, "a", "b"), of_b, "b", "a")
 
 
-def _slot(found: np.ndarray) -> np.ndarray:
-    return (found >> np.uint64(40)).astype(np.int64) % COUNTERS
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    words, counts = WordHashes(), np.zeros(COUNTERS, np.int64)
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per shingle of each text."""
+    words = WordHashes()
     for batch in batches:
-        for text in batch.column(0):
-            counts += np.bincount(_slot(shingles(text.as_py(), words)), minlength=COUNTERS)
-    used = np.flatnonzero(counts)
-    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], names=["slot", "count"])
-
-
-def _rarest(counts: np.ndarray, percent: int):
-    """Of each text's set the rarest shingles, one more than a linked set can lack."""
+        held, rows = [], 0
+        for rep, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            s = shingles(text.as_py(), words)
+            held.append((rep, component, s))
+            rows += len(s)
+            if rows >= 100_000:
+                yield _token_rows(held)
+                held, rows = [], 0
+        if held:
+            yield _token_rows(held)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
-        for batch in batches:
-            for rep, component, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                s = shingles(text.as_py(), words)
-                order = np.lexsort((s, counts[_slot(s)]))
-                tokens = s[order[: len(s) - -(-percent * len(s) // 100) + 1]].astype(np.int64)
-                n = len(tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, rep)), pa.array(np.full(n, component)), pa.array(np.full(n, len(s))), pa.array(np.arange(n)), pa.array(tokens)], names=["rep", "component", "n", "place", "token"])
 
-    return run
+def _token_rows(held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    n = np.array([len(s) for *_, s in held])
+    columns = [np.repeat([r for r, *_ in held], n), np.repeat([c for _, c, _ in held], n), np.repeat(n, n), np.concatenate([s for *_, s in held]).astype(np.int64)]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["rep", "component", "n", "token"])
 
 
 def _across(mixed: DataFrame, pool: DataFrame, star: DataFrame, percent: int) -> DataFrame:
     """Pairs (a < b) of different components that may be linked by their rarest shingles; ``mixed``: rep, component."""
-    texts = staged(mixed.join(pool, "rep").select("rep", "component", "text"), "mixed-texts")
-    per_task = texts.select("text").mapInArrow(_frequencies, "slot long, count long")
-    counts = np.zeros(COUNTERS, np.int64)
-    found = per_task.groupBy("slot").agg(F.sum("count").alias("count")).toArrow()  # at most COUNTERS rows
-    counts[found["slot"].to_numpy()] = found["count"].to_numpy()
-    tokens = staged(texts.mapInArrow(_rarest(counts, percent), "rep long, component long, n long, place long, token long"), "rare-shingles")
-    # a shingle of one component only pairs nothing
-    shared = tokens.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("token")
-    left = staged(tokens.join(shared, "token", "left_semi"), "shared-shingles")
-    x, y = left.select("token", "rep", "component", "n", "place").toDF("token", "a", "ca", "na", "pa"), left.select("token", "rep", "component", "n", "place").toDF("token", "b", "cb", "nb", "pb")
+    texts = mixed.join(pool, "rep").select("rep", "component", "text")
+    tokens = staged(texts.mapInArrow(_tokens, "rep long, component long, n long, token long"), "mixed-shingles")
+    # a shingle of one component pairs nothing; it counts by its number only, as rarer than all others
+    freq = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    freq = staged(freq.select("token", "c"), "shared-shingles")
+    heavy = freq.where(F.col("c") * HEAVY > tokens.count()).select("token")
+    met = look_up(tokens, freq, "token", heavy)
+    own = Window.partitionBy("rep")  # the shared shingles of one text
+    place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("c", "token")) - 1
+    # of each text the rarest shingles, one more than a linked set can lack
+    left = met.withColumn("place", place).where(F.col("place") <= F.col("n") - F.call_function("div", F.col("n") * percent + 99, F.lit(100)))
+    left = staged(left.select("token", "rep", "component", "n", "place"), "rare-shingles")
+    x, y = left.toDF("token", "a", "ca", "na", "pa"), left.toDF("token", "b", "cb", "nb", "pb")
     # at the first shingle that two sets share, what follows in the shorter rest bounds their overlap
     enough = (100 + percent) * F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= percent * (F.col("na") + F.col("nb"))
     fits = (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & enough
