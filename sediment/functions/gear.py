@@ -8,7 +8,6 @@ from collections.abc import Iterator
 import numpy as np
 
 from sediment.config import MIB, ChunkConfig
-from sediment.errors import ConfigError
 
 #: One 64-bit value a byte: the head of MD5 over 64 copies of it.
 GEAR = np.array([int.from_bytes(hashlib.md5(bytes([b]) * 64).digest()[:8], "big") for b in range(256)], np.uint64)
@@ -40,8 +39,6 @@ def rolling(data: np.ndarray) -> np.ndarray:
 
 def cut_lengths(data: bytes, config: ChunkConfig) -> Iterator[int]:
     """Lengths of the chunks of ``data``; they cover it without gaps."""
-    if config.avg_size < 256:
-        raise ConfigError("content-defined chunks need an average of at least 256 bytes")
     view, at = np.frombuffer(data, np.uint8), 0
     window = max(WINDOW, 4 * config.max_size)
     while at < len(view):

@@ -49,6 +49,14 @@ def best_matches(chunks: DataFrame, config: SimilarityConfig = SimilarityConfig(
     return gate(best(candidates(slots, bases(pool, "seq", config.candidates_per_bucket))), config)
 
 
+def index_size(chunks: DataFrame, keys: str = "keys") -> DataFrame:
+    """chunks, slots, buckets of the similarity index over ``chunks``."""
+    per_bucket = exploded(chunks, ["hash"], keys).groupBy("tier", "slot", "sf").agg(F.count("*").alias("n"))
+    sizes = per_bucket.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("slots"), F.count("*").alias("buckets"))
+    signed = chunks.agg(F.count_if(F.col(keys).isNotNull()).alias("chunks"))
+    return signed.join(sizes, F.lit(True)).select("chunks", "slots", "buckets")  # one row and one row
+
+
 def gate(found: DataFrame, config: SimilarityConfig) -> DataFrame:
     """Only the best is tried: a chunk whose best candidate fails is unique."""
     return found.where(F.lit(config.enabled) & (F.col("tier") >= config.least_tier))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.config import BackupOptions
@@ -36,11 +36,8 @@ def backup(files: DataFrame, store: ChunkStore, options: BackupOptions = BackupO
 
     firsts = new_chunks(first_occurrences(refs, ["name", "chunk_no"], ["length"]), store.index())
     numbered, _ = row_numbers(firsts, ["name", "chunk_no"], "place", "new-chunks")
-    before = F.sum(F.col("length").cast("long"))  # packs by running size, from sums of runs of places
     fresh = staged(numbered.withColumn("seq", F.col("place") + store.next_seq()), "new-seq")
-    runs = fresh.groupBy(F.expr("place div 1024").alias("run")).agg(before.alias("bytes"))
-    packs = _running(runs, options.pack_bytes, store.next_pack())
-    fresh = fresh.withColumn("run", F.expr("place div 1024")).join(packs, "run").drop("run")
+    fresh = staged(_packed(fresh, options.pack_bytes, store.next_pack()), "new-packs")
 
     own = cut.join(fresh.select("name", "chunk_no"), ["name", "chunk_no"], "left_semi").select("hash", "data", "length")
     keyed = staged(with_keys(own).join(fresh.select("hash", "seq", "pack_id"), "hash"), "new-keys")
@@ -69,12 +66,22 @@ def backup(files: DataFrame, store: ChunkStore, options: BackupOptions = BackupO
     return file_stats(files, meta, refs, fresh.join(rows.select("hash", "entry_type", "stored_length", "similar_to"), "hash"))
 
 
-def _running(runs: DataFrame, pack_bytes: int, first: int) -> DataFrame:
-    """run, pack_id: one row per 1,024 new chunks goes through one task."""
-    from pyspark.sql import Window
+#: Places whose lengths are added up by one window.
+RUN = 1024
 
+
+def _packed(fresh: DataFrame, pack_bytes: int, first: int) -> DataFrame:
+    """``fresh`` (place, length) with pack_id: a pack holds the chunks that begin in its pack_bytes of all new bytes.
+
+    Sums of runs go through one task (a row per RUN chunks), lengths within a run through the run's.
+    """
+    runs = fresh.groupBy(F.call_function("div", F.col("place"), F.lit(RUN)).alias("run")).agg(F.sum(F.col("length").cast("long")).alias("bytes"))
     upto = F.sum("bytes").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
-    return runs.select("run", (F.lit(first) + F.floor(F.coalesce(upto, F.lit(0)) / F.lit(pack_bytes))).cast("long").alias("pack_id"))
+    starts = runs.select("run", F.coalesce(upto, F.lit(0)).alias("start"))
+    inside = F.sum(F.col("length").cast("long")).over(Window.partitionBy("run").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
+    placed = fresh.withColumn("run", F.call_function("div", F.col("place"), F.lit(RUN))).join(starts, "run")
+    pack = F.lit(first) + F.call_function("div", F.col("start") + F.coalesce(inside, F.lit(0)), F.lit(pack_bytes))
+    return placed.withColumn("pack_id", pack).drop("run", "start")
 
 
 def _flat(found: DataFrame, index: DataFrame) -> DataFrame:
@@ -118,15 +125,18 @@ def restored(store: ChunkStore, name: str | None = None) -> DataFrame:
 
 def restore(store: ChunkStore, dest: str, name: str | None = None) -> int:
     """Write files below ``dest`` (a folder every executor sees); times and permissions are set. Returns their number."""
-    files = restored(store, name)
-    bad = files.where(~F.col("complete")).select("name").limit(1).collect()
-    if bad:
+    chosen = store.manifests() if name is None else store.manifests().where(F.col("name") == name)
+    bad = m.entries(chosen).join(store.hashes(), "hash", "left_anti").select("name").limit(1).collect()
+    if bad:  # before anything is written, and without a payload read
         raise ChunkNotFound(f"{bad[0]['name']} has chunks that the store lacks")
+    files = restored(store, name)
 
     def write(rows) -> None:
         import os
 
         for r in rows:
+            if not r["complete"]:
+                raise ChunkNotFound(f"{r['name']} has chunks that can't be read")
             target = safe_target(dest, r["name"])
             os.makedirs(os.path.dirname(target), exist_ok=True)
             with open(f"{target}.part", "wb") as f:
@@ -136,7 +146,7 @@ def restore(store: ChunkStore, dest: str, name: str | None = None) -> int:
             os.replace(f"{target}.part", target)
 
     files.foreachPartition(write)
-    return files.count()
+    return chosen.count()
 
 
 def verify(store: ChunkStore, name: str | None = None, hasher: str = "sha256") -> tuple[DataFrame, DataFrame]:

@@ -305,6 +305,11 @@ def super_feature_buckets(spark, sf_dir):
     return slots.groupBy("tier", "slot", "sf").agg(F.count("*").alias("chunks"), F.min("seq").alias("first_seq")).where("chunks > 1")
 
 
+@query(SIGNED_SQL + "SELECT count(DISTINCT hash) AS chunks, count(*) AS slots, count(DISTINCT (tier, slot, sf)) AS buckets FROM k")
+def similarity_index_size(spark, sf_dir):
+    return similarity.index_size(_signed(spark, sf_dir))
+
+
 def _candidates(spark, sf_dir):
     slots = similarity.exploded(_signed(spark, sf_dir), ["hash", "seq"])
     return similarity.candidates(slots, similarity.bases(slots, "seq", 5))

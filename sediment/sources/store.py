@@ -3,7 +3,8 @@
 Chunks are appended by ingest and carry entry type, base, payload, lengths and
 signature keys, so reading the index prunes the payloads away. Manifests are
 appended too; the latest ingest of a name holds, and a deletion is a row without
-hashes. A write shows only once its folder is committed.
+hashes. A job's files show only once it is committed; chunks are committed before
+the manifests that list them. One ingest at a time may write to a store.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ from __future__ import annotations
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +34,7 @@ class ChunkStore:
         fs = jpath.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(jpath):
             return self.spark.createDataFrame([], schema)
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except AnalysisException:
-            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)  # a table that is there but can't be read is an error
 
     def chunks(self) -> DataFrame:
         return self._read("chunks", CHUNK_STORE)

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sediment.config import BackupOptions
 from sediment.plans.backup import backup
+from sediment.sources.files import as_files
 from sediment.sources.store import ChunkStore
 
 
@@ -27,9 +28,6 @@ def ingest_stream(files: DataFrame, store: ChunkStore, checkpoint: str, options:
 
 
 def watch_files(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """New files below a folder as a streaming files table."""
-    from pyspark.sql import functions as F
-
-    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files).load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    return raw.select(name.alias("name"), "path", F.col("length").alias("size"), F.unix_seconds("modificationTime").alias("modified"), F.lit(0o644).alias("permissions"), "content")
+    """New files below a folder, however deep, as a streaming files table named as :func:`read_files` names them."""
+    raw = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("maxFilesPerTrigger", max_files).option("recursiveFileLookup", "true").load(path)
+    return as_files(raw, path)

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from sediment.config import FINE, BackupOptions, ChunkConfig, SimilarityConfig
 from sediment.errors import ChunkNotFound, StoreCorrupted
+from sediment.functions.gear import cut_lengths
 from sediment.operators import dedup, manifest, similarity
 from sediment.operators.chunking import cdc_chunks, fixed_chunks
 from sediment.operators.restore import decode_chunks
 from sediment.plans import backup as b
 from sediment.schemas import CHUNK_STORE, FILES
+from sediment.sources.files import from_table, read_files
 from sediment.sources.store import ChunkStore, export_manifests, import_manifests
 from sediment.streaming.ingest import ingest_stream, watch_files
 
@@ -255,6 +257,57 @@ def test_stream_ingest(spark, tmp_path):
     assert b.verify(held)[0].first()["ok"]
 
 
+def test_stream_names_files_by_their_whole_path(spark, tmp_path):
+    for d in ("a", "b"):
+        (tmp_path / "in" / d).mkdir(parents=True)
+        (tmp_path / "in" / d / "same.txt").write_bytes(d.encode() * 300)
+    held = ChunkStore(spark, str(tmp_path / "store"))
+    ingest_stream(watch_files(spark, str(tmp_path / "in")), held, str(tmp_path / "point"), OPTIONS).awaitTermination(120)
+    assert {r["name"] for r in held.manifests().collect()} == {"a/same.txt", "b/same.txt"} == {r["name"] for r in read_files(spark, str(tmp_path / "in")).collect()}
+
+
+def test_modes_are_read_and_restored(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name, mode in (("run sh", 0o755), ("secret%20", 0o600)):
+        (tmp_path / "in" / name).write_bytes(name.encode() * 100)
+        (tmp_path / "in" / name).chmod(mode)
+    held = ChunkStore(spark, str(tmp_path / "store"))
+    b.backup(read_files(spark, str(tmp_path / "in")), held, OPTIONS)
+    assert b.restore(held, str(tmp_path / "out")) == 2
+    assert {p.name: p.stat().st_mode & 0o7777 for p in (tmp_path / "out").iterdir()} == {"run sh": 0o755, "secret%20": 0o600}
+
+
+def test_rows_changed_at_equal_size_are_stored(spark, store):
+    for text in ("abc" * 100, "abd" * 100):
+        b.backup(from_table(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text"), store, OPTIONS)
+        assert bytes(b.restored(store).first()["content"]) == text.encode()
+    again = b.backup(from_table(spark.createDataFrame([(1, text)], "doc_id long, text string"), "doc_id", "text"), store, OPTIONS)
+    assert again.first()["unchanged"]
+
+
+def test_packs_hold_their_bytes(spark, store):
+    data = random.Random(3).randbytes(600_000)
+    b.backup(table(spark, {"big": data}), store, BackupOptions(chunks=FINE, similarity=SimilarityConfig(0), pack_bytes=16_384))
+    packs = store.index().groupBy("pack_id").agg(F.sum("orig_length").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("z")).orderBy("pack_id").collect()
+    assert len(packs) >= 600_000 // 16_384 and all(r["n"] < 16_384 + FINE.max_size for r in packs)
+    assert all(x["z"] < y["a"] for x, y in zip(packs, packs[1:]))
+
+
+def test_unreadable_store_is_an_error(spark, tmp_path):
+    (tmp_path / "store" / "chunks").mkdir(parents=True)
+    (tmp_path / "store" / "chunks" / "part-0.parquet").write_bytes(b"not a table at all")
+    with pytest.raises(Exception):
+        ChunkStore(spark, str(tmp_path / "store")).next_seq()
+
+
+def test_small_averages_cover(spark):
+    config = ChunkConfig.from_chunk_size(128)
+    data = random.Random(4).randbytes(40_000) + bytes(3000)
+    lengths = list(cut_lengths(data, config))
+    assert sum(lengths) == len(data) and all(config.min_size <= n <= config.max_size for n in lengths[:-1])
+    assert len(set(lengths)) > 20 and list(cut_lengths(data, config)) == lengths
+
+
 def test_command_line(spark, tmp_path, capsys):
     from sediment.cli import main
 
