@@ -3,13 +3,15 @@
 Blocks around licence words are cut from whole texts, wide enough for the longest
 notice on either side of each. Spans of a block that may hold a template's wording are
 confirmed by a word diff that must leave no identifying word (names, versions)
-unmatched and no more than a tenth of the other words changed. Each confirmed span is
+unmatched, change no word that turns a term round (not, without, only, ...), and no
+more than a tenth of the other words. Each confirmed span is
 compressed alone and once more with its template as zstandard raw dictionary; where
 spans overlap, the one whose template saves most bytes is the notice (ties: fewer
 changed words, then the first by name).
 
 Defined results: one row per notice, in the order of the text, over the notice alone;
-a null or empty text has none; line breaks, indents and comment signs between words
+a null or empty text has none; texts of any length are scanned whole; SPDX identifiers
+count as notices; line breaks, indents and comment signs between words
 don't count; rows that share an id are scanned on their own; an empty table gives an
 empty result.
 """
@@ -53,6 +55,9 @@ TEMPLATES = {
     "CC0-1.0/notice": "This work is dedicated to the public domain under CC0 1.0 Universal.",
     "Unlicense/notice": "This is free and unencumbered software released into the public domain.",
 }
+#: Identifiers of the SPDX licence list.
+SPDX = "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later MIT MPL-2.0 Unlicense Zlib".split()
+TEMPLATES |= {f"{name}/spdx": f"SPDX-License-Identifier: {name}" for name in SPDX}
 ANCHOR = r"(?i)licen[cs]e|copyright|redistribut|public\W+domain|creative\W+commons|permission|warrant"
 #: A block reaches so far beyond its outer anchors: over the longest notice, indented and commented.
 REACH = 2000
@@ -81,14 +86,19 @@ def _words(text: str) -> list[str]:
 
 
 def _names(words: list[str]) -> set[str]:
-    """Identifying words: acronyms, names and versions."""
-    return {w.lower() for w in words if any(c.isdigit() for c in w) or sum(c.isupper() for c in w) > 1 or w in NAMES}
+    """Identifying words: names and versions, and in short notices all numbers and acronyms (long ones number and shout)."""
+    short = len(words) < 60
+    return {w.lower() for w in words if w in NAMES or re.search(r"\d\.\d", w) or short and (any(c.isdigit() for c in w) or sum(c.isupper() for c in w) > 1)}
 
 
 #: Names of licences that are ordinary words otherwise.
 NAMES = {"Apache", "Mozilla", "Creative", "Commons", "Lesser", "Affero", "ShareAlike", "Attribution", "Universal", "unencumbered"}
 
 
+#: Words that turn a term round: a wording that adds, lacks or swaps one is another wording.
+TERMS = ("not", "no", "non", "never", "with", "without", "except", "only", "unless", "must", "commercial", "noncommercial")
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] = TEMPLATES, level: int = 19):
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
@@ -96,7 +106,7 @@ class Scanner:
         for name, text in sorted(templates.items()):
             held = zstandard.ZstdCompressionDict(" ".join(text.split()).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             words = _words(text)
-            self.known.append((name, zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False), [w.lower() for w in words], _names(words) if len(words) < 60 else set()))
+            self.known.append((name, zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False), [w.lower() for w in words], _names(words)))
 
     def scan(self, block: str) -> tuple | None:
         """(licence, plain, conditional, saved, missing, extra) of the notice that saves most."""
@@ -157,9 +167,10 @@ def occurrences(wanted: list[str], words: list[str], places: dict[str, list[int]
         if span := differences(wanted, words[a:b], names):
             # the place of the first diagonal may have cut it short
             a, b = max(0, a + span[0] - width), min(len(words), a + span[1] + width)
-            first, last, missing, extra = differences(wanted, words[a:b], names) or span
-            yield a + first, a + last, missing, extra
-            done = a + last + n - loose  # the first diagonal of a span behind this one
+            if whole := differences(wanted, words[a:b], names):
+                first, last, missing, extra = whole
+                yield a + first, a + last, missing, extra
+                done = a + last + n - loose  # the first diagonal of a span behind this one
 
 
 def differences(wanted: list[str], words: list[str], names: set[str]) -> tuple[int, int, int, int] | None:
@@ -176,6 +187,11 @@ def differences(wanted: list[str], words: list[str], names: set[str]) -> tuple[i
                 break
             if missing <= loose and names <= held and (best is None or missing + extra < best[2] + best[3]):
                 best = match[x].b, m.b + m.size, missing, extra
+    if best:
+        changed = Counter(words[best[0] : best[1]])
+        changed.subtract(wanted)
+        if any(changed[t] for t in TERMS):  # the nearest wording is another one
+            return None
     return best
 
 

@@ -187,3 +187,76 @@ def test_wrapped_notices_are_found(width, sign):
         wrapped = "\n".join(sign + x for x in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
         assert licences(f"{sign}Some file of ours\n{sign}\n{wrapped}\n\nimport os\n") == [name.partition("/")[0]], name
     assert licences("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/.") == ["MPL-2.0"]
+
+
+def test_spdx_identifiers_and_changed_terms():
+    t = license_scan.TEMPLATES
+    assert licences("// SPDX-License-Identifier: MIT\n/* SPDX-License-Identifier: GPL-2.0-or-later */\n# SPDX-License-Identifier: Apache-2.0") == ["MIT", "GPL-2.0-or-later", "Apache-2.0"]
+    assert licences("SPDX-License-Identifier: Nothing-1.0") == []
+    assert licences(t["Apache-2.0/header"].replace("2.0", "1.1")) == []
+    for a, b in (("free of charge", "not free of charge"), ("without restriction", "with restriction"), ("is furnished", "is not furnished")):
+        assert a in t["MIT/full"] and licences(t["MIT/full"].replace(a, b)) == []
+    assert licences(t["MIT/full"].replace("copy, modify, merge", "copy, change, merge")) == ["MIT"]
+    assert licences("This work is not licensed under the GNU General Public License, version 3.") == []
+
+
+def test_notices_against_brute_force():
+    """All spans of all short templates by plain longest common subsequences; where they overlap, the most bytes saved."""
+    import zstandard
+
+    templates = {k: v for k, v in license_scan.TEMPLATES.items() if len(license_scan._words(v)) <= 14}
+    scanner = license_scan.Scanner(templates)
+    plain = zstandard.ZstdCompressor(level=19, write_content_size=False)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = 0
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    def brute(text):
+        at = [m.span() for m in license_scan.WORD.finditer(text)]
+        words = [text[a:b].lower() for a, b in at]
+        found = []
+        for name, wording in sorted(templates.items()):
+            wanted = [w.lower() for w in license_scan._words(wording)]
+            names, loose = license_scan._names(license_scan._words(wording)), license_scan._loose(wanted)
+            held = zstandard.ZstdCompressionDict(" ".join(wording.split()).lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            best = {}
+            for a in range(len(words)):
+                for b in range(a + 1, min(len(words), a + len(wanted) + loose) + 1):
+                    span = words[a:b]
+                    if span[0] not in wanted or span[-1] not in wanted or not names <= set(span):
+                        continue
+                    k = common(wanted, span)
+                    missing, extra = len(wanted) - k, len(span) - k
+                    if missing <= loose and extra <= loose:
+                        data = " ".join(text[at[a][0] : at[b - 1][1]].split()).lower().encode()
+                        alone, size = len(plain.compress(data)), len(zstandard.ZstdCompressor(level=19, dict_data=held, write_content_size=False).compress(data))
+                        if size < alone:
+                            best[a, b] = (missing + extra, alone - size)
+            for (a, b), (off, saved) in best.items():
+                turned = any(words[a:b].count(t) != wanted.count(t) for t in license_scan.TERMS)
+                if not turned and not any((x, y) != (a, b) and x < b and a < y and o < off for (x, y), (o, _) in best.items()):
+                    found.append((-saved, off, name, a, b))
+        taken, out = set(), []
+        for _, _, name, a, b in sorted(found):
+            if not taken & set(range(a, b)):
+                taken |= set(range(a, b))
+                out.append((at[a][0], at[b - 1][1], name.partition("/")[0]))
+        return sorted(out)
+
+    rng = random.Random(12)
+    for _ in range(25):
+        parts = []
+        for _ in range(4):
+            parts.append(prose(rng, rng.randint(0, 6)))
+            words = rng.choice(sorted(templates.values())).split()
+            if rng.random() < 0.5:
+                words[rng.randrange(len(words))] = rng.choice(["other", "not", "License", "2.0", "MIT"])
+            parts.append(" ".join(words))
+        text = "\n".join(parts) + " license"
+        got = [(a + x[0], a + x[1], x[2]) for a, b in license_scan.blocks(text) for x in scanner.notices(text[a:b])]
+        assert sorted(got) == brute(text), text
