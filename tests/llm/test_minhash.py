@@ -125,6 +125,9 @@ def test_hot_keys_are_split(spark, monkeypatch):
     assert got == {k: 1 for k in range(1, 401)} | {1000 + k: 1000 for k in range(300)} | {2000: 1000, 3000: 1000}
     many = spark.createDataFrame([(1 if k % 2 else k, k) for k in range(500)], "a long, b long")
     one = spark.range(500).selectExpr("id a", "concat('x', id) t")
+    monkeypatch.setattr(skew, "LEAST", 1000)
+    assert skew.heavy_keys(many, "a") is None and skew.look_up(many, one, "a").count() == 500
+    monkeypatch.setattr(skew, "LEAST", 5)
     heavy = skew.heavy_keys(many, "a").collect()
     assert [r["a"] for r in heavy] == [1] and heavy[0]["parts"] > 1
     for met in (skew.look_up(many, one, "a"), skew.look_up_wide(many, one, "a", "b")):
