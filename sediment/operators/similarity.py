@@ -9,13 +9,15 @@ by going through each connected set of buckets in order.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.config import SimilarityConfig
+from sediment.functions.features import LOW64
 
 
 def exploded(chunks: DataFrame, keep: list[str], keys: str = "keys") -> DataFrame:
@@ -74,46 +76,82 @@ def sequential_matches(chunks: DataFrame, shards: int = 4, config: SimilarityCon
     """The order-dependent search for parity tests: one task per shard of the hash's first byte.
 
     Only unique chunks become bases; each shard keeps at most budget/shards of
-    them, least recently used first out; a chunk looks only in its own shard.
+    them, least recently used first out; a chunk looks only in its own shard. A
+    task goes through its sorted chunks in batches and holds a shard's bases alone.
     """
     shard = F.conv(F.substring("hash", 1, 2), 16, 10).cast("int") % shards
     most, room = config.candidates_per_bucket, max(1, budget // shards)
+    least = config.least_tier if config.enabled else 4
 
-    def run(groups: pd.DataFrame) -> pd.DataFrame:
-        index: dict[tuple, dict[str, None]] = {}  # buckets in order of arrival, live bases only
-        live: dict[str, list[tuple]] = {}
-        rows = []
-        for r in groups.sort_values("seq").itertuples():
-            slots = [(k["tier"], k["slot"], k["sf"]) for k in r.keys]
-            found = _lookup(slots, index, most)
-            if found and config.enabled and found[1] >= config.least_tier:
-                live[found[0]] = live.pop(found[0])  # touched
-                rows.append((r.hash, *found))
-                continue
-            while len(live) >= room:
-                oldest = next(iter(live))
-                for s in live.pop(oldest):
-                    index[s].pop(oldest, None)
-                    if not index[s]:
-                        del index[s]
-            live[r.hash] = slots
-            for s in slots:
-                index.setdefault(s, {})[r.hash] = None
-        return pd.DataFrame(rows, columns=["hash", "base_hash", "tier", "matches"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, None
+        for batch in batches:
+            rows = []
+            for own, h, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if own != at:
+                    at, held = own, Bases(room)
+                slots = [_slot(k["tier"], k["slot"], k["sf"]) for k in keys.as_py()]
+                found = held.best(slots, most)
+                if found and found[1] >= least:
+                    held.touch(found[0])
+                    rows.append((h, *found))
+                else:
+                    held.add(h, slots)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, MATCH_TYPES)], names=["hash", "base_hash", "tier", "matches"])
 
-    return chunks.where("keys is not null").select("hash", "seq", "keys", shard.alias("shard")).groupBy("shard").applyInPandas(run, "hash string, base_hash string, tier int, matches int")
+    slim = chunks.where("keys is not null").select(shard.alias("shard"), "hash", "keys", "seq")
+    dealt = slim.repartition(shards, "shard").sortWithinPartitions("shard", "seq").select("shard", "hash", "keys")
+    return dealt.mapInArrow(run, "hash string, base_hash string, tier int, matches int")
 
 
-def _lookup(slots: list[tuple], index: dict, most: int) -> tuple[str, int, int] | None:
-    for tier in (3, 2, 1):
-        counts: dict[str, int] = {}
-        for s in slots:
-            if s[0] == tier:
-                for h in islice(index.get(s, ()), most):
-                    counts[h] = counts.get(h, 0) + 1
-        if counts:
-            top = max(counts, key=counts.__getitem__)  # the first of equals
-            return top, tier, counts[top]
-    return None
+MATCH_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32()]
+
+
+def _slot(tier: int, slot: int, sf: int) -> int:
+    """A bucket as one number; its last four bits are the slot, the two before them the tier."""
+    return (sf & LOW64) << 6 | tier << 4 | slot
 
 
+class Bases:
+    """Live bases and their buckets, in order of arrival; the least recently used goes first."""
+
+    def __init__(self, room: int):
+        self.room = room
+        self.live: dict[str, list[int]] = {}
+        self.index: dict[int, str | dict[str, None]] = {}  # most buckets have one base
+
+    def best(self, slots: list[int], most: int) -> tuple[str, int, int] | None:
+        for tier in (3, 2, 1):
+            counts: dict[str, int] = {}
+            for s in slots:
+                if s >> 4 & 3 == tier and (held := self.index.get(s)) is not None:
+                    for h in (held,) if isinstance(held, str) else islice(held, most):
+                        counts[h] = counts.get(h, 0) + 1
+            if counts:
+                top = max(counts, key=counts.__getitem__)  # the first of equals
+                return top, tier, counts[top]
+        return None
+
+    def touch(self, h: str) -> None:
+        self.live[h] = self.live.pop(h)
+
+    def add(self, h: str, slots: list[int]) -> None:
+        while len(self.live) >= self.room:
+            oldest = next(iter(self.live))
+            for s in self.live.pop(oldest):
+                held = self.index[s]
+                if isinstance(held, str):
+                    del self.index[s]
+                else:
+                    held.pop(oldest, None)
+                    if len(held) == 1:
+                        self.index[s] = next(iter(held))
+        self.live[h] = slots
+        for s in slots:
+            held = self.index.get(s)
+            if held is None:
+                self.index[s] = h
+            elif isinstance(held, str):
+                self.index[s] = {held: None, h: None}
+            else:
+                held[h] = None
