@@ -11,8 +11,10 @@ of a bounded sample train a linear scorer on hashed features, and the scorer run
 over every whole text.
 
 Defined results: a null or empty text votes bad by length and gets a score like
-any other; rows that share an id are scored on their own; an empty table gives an
-empty result; without any votes for or against, posteriors are one half.
+any other; texts of any length are scored whole; rows that share an id are scored on
+their own, and the least of their texts trains; an empty table gives an
+empty result; without any votes for or against, posteriors are one half. Scores don't
+depend on how the rows are dealt to partitions.
 """
 
 from __future__ import annotations
@@ -39,8 +41,9 @@ WORDS_KEPT = 200_000
 @dataclass(frozen=True)
 class ScorerConfig:
     dims: int = 1 << 15
-    #: Documents that train the scorer: those least by a hash of their ids.
+    #: Documents that train the scorer: those least by a hash of their ids; longer texts (in bytes) don't train.
     sample: int = 6000
+    longest_training_text: int = 32_000
     rounds: int = 120
     rate: float = 0.5
     decay: float = 1e-4
@@ -188,8 +191,10 @@ def _featurize(dims: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = FeatureHashes(dims)
         for batch in batches:
-            found = [features(Measured(t.as_py() or b""), hashes) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s, _ in found], pa.binary()), pa.array([v.astype(float).tobytes() for _, v in found], pa.binary()), batch.column(2)], names=["slots", "shares", "pattern"])
+            seen = [Measured(t.as_py() or b"") for t in batch.column(1)]
+            found = [features(m, hashes) for m in seen]
+            slots, shares = ([x.astype(kind).tobytes() for x in column] for column, kind in zip(zip(*found) if found else ((), ()), (np.int32, np.float32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(slots, pa.binary()), pa.array(shares, pa.binary()), pa.array([pattern(votes(m)) for m in seen], pa.int64())], names=["doc_id", "slots", "shares", "pattern"])
 
     return run
 
@@ -223,11 +228,13 @@ def fit(docs: DataFrame, config: ScorerConfig = ScorerConfig(), id_col: str = "d
     voted = staged(narrow.mapInArrow(_vote, "doc_id long, pattern long"), "votes")
     counts = {r["pattern"]: r["count"] for r in voted.groupBy("pattern").count().collect()}  # at most 3^labellers
     _, _, post = expectation_maximisation(counts)
-    picked = voted.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id", "pattern").limit(config.sample).drop("h")
-    picked = staged(picked.where("doc_id is not null").dropDuplicates(["doc_id"]), "sample")
-    texts = narrow.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "pattern")
-    rows = texts.mapInArrow(_featurize(config.dims), "slots binary, shares binary, pattern long").limit(2 * config.sample).collect()
-    found = [(np.frombuffer(r["slots"], np.int64), np.frombuffer(r["shares"], float)) for r in rows]
+    short = narrow.where("doc_id is not null").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= config.longest_training_text)
+    ids = short.select("doc_id").distinct().withColumn("h", F.xxhash64("doc_id"))
+    picked = staged(ids.orderBy("h", "doc_id").limit(config.sample).select("doc_id"), "sample")
+    texts = short.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(b""))).alias("text"))
+    rows = texts.mapInArrow(_featurize(config.dims), "doc_id long, slots binary, shares binary, pattern long").collect()  # the sample
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    found = [(np.frombuffer(r["slots"], np.int32), np.frombuffer(r["shares"], np.float32)) for r in rows]
     weights, bias = train(found, np.array([post[r["pattern"]] for r in rows]), config)
     return weights, bias, post, voted
 

@@ -70,6 +70,30 @@ def test_classifier_tells_junk_and_keeps_clean(spark, empty, clashing):
     assert quality_classifier.score_documents(clashing).count() == clashing.count()
 
 
+def test_classifier_scores_against_plain_python(spark):
+    rng = random.Random(17)
+    rows = [(i, ". ".join(prose(rng, 12).capitalize() for _ in range(6)) if i % 3 else "BUY $$$ " * 20) for i in range(60)]
+    rows += [(70, None), (71, ""), (72, "word " * 100_000), (73, rows[1][1]), (73, rows[2][1]), (None, rows[4][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    config = quality_classifier.ScorerConfig()
+    weights, bias, post, _ = quality_classifier.fit(df, config)
+    counts = {}
+    for _, t in rows:
+        code = quality_classifier.pattern(quality_classifier.votes(quality_classifier.Measured((t or "").encode())))
+        counts[code] = counts.get(code, 0) + 1
+    assert post == quality_classifier.expectation_maximisation(counts)[2]
+    hashes, light = quality_classifier.FeatureHashes(config.dims), weights.astype(np.float32)
+
+    def plain(text):
+        slots, values = quality_classifier.features(quality_classifier.Measured((text or "").encode()), hashes)
+        return 1 / (1 + np.exp(-(sum(float(light[s]) * v for s, v in zip(slots, values)) + bias)))
+
+    got = sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in quality_classifier.score_documents(df).collect())
+    again = sorted((r["doc_id"] or -1, round(r["score"], 9)) for r in quality_classifier.score_documents(df.repartition(7)).collect())
+    assert got == again and len(got) == len(rows)
+    assert np.allclose([x for _, x in got], [x for _, x in sorted((i if i is not None and i != 0 else -1, plain(t)) for i, t in rows)], atol=1e-4)
+
+
 def toxic_rows(n=900):
     rng = random.Random(9)
     rows, labels = [], []
