@@ -8,7 +8,8 @@ are hashed. Tier 3 folds four features a slot, tier 2 three, tier 1 two.
 
 from __future__ import annotations
 
-
+import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,19 +58,30 @@ def super_features(data: bytes) -> dict[tuple[int, int], int] | None:
     return found
 
 
-def signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def key_lists(column: pa.Array) -> pa.Array:
+    """For a batch of chunks the lists (tier, slot, super-feature as signed number); the folds go over whole columns."""
+    found = [None if b is None else feature_list(b) for b in column.to_pylist()]
+    none = np.array([f is None for f in found], bool)
+    features = np.array([f for f in found if f is not None], np.uint64).reshape(-1, PARTS)
+    whole = np.array([len(b) < FULL for b, f in zip(column.to_pylist(), found) if f is not None], bool)
+    folded = np.empty((len(features), len(SLOTS)), np.uint64)
+    for at, (tier, slot) in enumerate(SLOTS):
+        h = np.zeros(len(features), np.uint64)
+        for k in range(slot * TIERS[tier], (slot + 1) * TIERS[tier]):
+            h = h * np.uint64(MULTIPLIER) ^ features[:, k]
+        folded[:, at] = np.where(whole, features[:, 0], h)
+    tiers, slots = (pa.array(np.tile(np.array(x, np.int32), len(features))) for x in zip(*SLOTS))
+    items = pa.StructArray.from_arrays([tiers, slots, pa.array(folded.ravel().view(np.int64))], names=["tier", "slot", "sf"])
+    offsets = np.concatenate([[0], np.cumsum(~none) * len(SLOTS)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), items, mask=pa.array(none))
 
 
 def with_keys(chunks: DataFrame, data: str = "data", keys: str = "keys") -> DataFrame:
     """``chunks`` with the column ``keys``: (tier, slot, sf) of each slot, null for small chunks."""
 
-    @F.pandas_udf(KEYS.format("bigint"))
-    def run(column):
-        import pandas as pd
-
-        rows = [super_features(bytes(b)) if b is not None else None for b in column]
-        return pd.Series([None if r is None else [{"tier": t, "slot": s, "sf": signed(v)} for (t, s), v in r.items()] for r in rows])
+    @F.arrow_udf(KEYS.format("bigint"))
+    def run(column: pa.Array) -> pa.Array:
+        return key_lists(column)
 
     return chunks.withColumn(keys, run(F.col(data)))
 

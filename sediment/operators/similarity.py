@@ -4,7 +4,7 @@
 (tier, slot, super-feature) bucket are examined, and the best candidate is the one
 of the highest tier, then most common slots, then first slot, then first come.
 ``sequential`` search adds the rule that a chunk with a base is no base itself,
-by going through each connected set of buckets in order.
+by going in order through the chunks that share a super-feature with another.
 """
 
 from __future__ import annotations
@@ -18,6 +18,10 @@ from pyspark.sql import functions as F
 
 from sediment.config import SimilarityConfig
 from sediment.functions.features import LOW64
+from sediment.session import row_numbers, staged
+
+#: Rows of one column that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def exploded(chunks: DataFrame, keep: list[str], keys: str = "keys") -> DataFrame:
@@ -73,35 +77,68 @@ def outcomes(chunks: DataFrame, matched: DataFrame, length: str = "length") -> D
 
 
 def sequential_matches(chunks: DataFrame, shards: int = 4, config: SimilarityConfig = SimilarityConfig(), budget: int = 1_000_000) -> DataFrame:
-    """The order-dependent search for parity tests: one task per shard of the hash's first byte.
+    """The order-dependent search for parity tests, by shard of the hash's first byte.
 
     Only unique chunks become bases; each shard keeps at most budget/shards of
-    them, least recently used first out; a chunk looks only in its own shard. A
-    task goes through its sorted chunks in batches and holds a shard's bases alone.
+    them, least recently used first out; a chunk looks only in its own shard. The
+    order is that of ``seq`` (null first), then of the hash.
+
+    A chunk that shares no super-feature within its shard neither finds a base nor
+    is found as one; it only takes room. So the others alone go through their
+    shard's task, each with the number of chunks before it, by which those left
+    out count in evictions.
     """
     shard = F.conv(F.substring("hash", 1, 2), 16, 10).cast("int") % shards
     most, room = config.candidates_per_bucket, max(1, budget // shards)
     least = config.least_tier if config.enabled else 4
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, None
+        at, held, nth = None, None, 0
         for batch in batches:
             rows = []
-            for own, h, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                if own != at:
-                    at, held = own, Bases(room)
+            for own, h, row, keys in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
+                if held is None or own != at:
+                    at, held, nth = own, Bases(room), 0
+                alone = 0 if row is None else row - nth  # chunks left out, from any beginning
+                nth += 1
+                held.forget(alone)
                 slots = [_slot(k["tier"], k["slot"], k["sf"]) for k in keys.as_py()]
                 found = held.best(slots, most)
                 if found and found[1] >= least:
-                    held.touch(found[0])
+                    held.touch(found[0], alone)
                     rows.append((h, *found))
                 else:
-                    held.add(h, slots)
+                    held.add(h, slots, alone)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, MATCH_TYPES)], names=["hash", "base_hash", "tier", "matches"])
 
-    slim = chunks.where("keys is not null").select(shard.alias("shard"), "hash", "keys", "seq")
-    dealt = slim.repartition(shards, "shard").sortWithinPartitions("shard", "seq").select("shard", "hash", "keys")
-    return dealt.mapInArrow(run, "hash string, base_hash string, tier int, matches int")
+    dealt = sequential_rows(chunks.withColumn("shard", shard), room).repartitionById(shards, F.col("shard"))
+    ordered = dealt.sortWithinPartitions("shard", "seq", "hash").select("shard", "hash", "row", "keys")
+    return ordered.mapInArrow(run, "hash string, base_hash string, tier int, matches int")
+
+
+def sequential_rows(chunks: DataFrame, room: int) -> DataFrame:
+    """The chunks (shard, hash, seq, keys) that share a super-feature, with their row among all; row is null where no shard has over ``room`` chunks."""
+    slim = staged(chunks.where("keys is not null").select("shard", "hash", "seq", "keys"), "sequential")
+    linked = staged(_sharing(slim), "sequential-linked")
+    met = slim.join(_met(linked), "hash", "left_semi")
+    fullest = slim.groupBy("shard").count().agg(F.max("count").alias("n")).first()["n"] or 0
+    if fullest <= room:  # nothing is evicted
+        return met.withColumn("row", F.lit(None).cast("long"))
+    numbered, _ = row_numbers(slim.select("shard", "seq", "hash"), ["shard", "seq", "hash"], "row", "sequential-rows")
+    return met.join(numbered.join(_met(linked), "hash", "left_semi").select("hash", "row"), "hash")
+
+
+def _sharing(slim: DataFrame) -> DataFrame:
+    """The hashes of chunks with a super-feature that another of their shard has too, whatever its tier and slot."""
+    sf = F.array_distinct(F.transform("keys", lambda k: F.xxhash64("shard", k["sf"])))
+    slots = slim.select("hash", F.explode(sf).alias("bucket"))
+    shared = staged(slots.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "sequential-shared")
+    return slots.join(_met(shared), "bucket", "left_semi").select("hash").distinct()
+
+
+def _met(few: DataFrame) -> DataFrame:
+    """``few`` as the right side of a join: by broadcast up to BROADCAST_ROWS, else by exchange."""
+    return F.broadcast(few) if few.count() <= BROADCAST_ROWS else few.hint("merge")
 
 
 MATCH_TYPES = [pa.string(), pa.string(), pa.int32(), pa.int32()]
@@ -113,11 +150,14 @@ def _slot(tier: int, slot: int, sf: int) -> int:
 
 
 class Bases:
-    """Live bases and their buckets, in order of arrival; the least recently used goes first."""
+    """Live bases and their buckets, in order of arrival; the least recently used goes first.
+
+    ``alone`` counts the chunks passed by that are bases in no bucket here; each takes room when it comes.
+    """
 
     def __init__(self, room: int):
         self.room = room
-        self.live: dict[str, list[int]] = {}
+        self.live: dict[str, tuple[list[int], int]] = {}  # buckets, and ``alone`` at the last use
         self.index: dict[int, str | dict[str, None]] = {}  # most buckets have one base
 
     def best(self, slots: list[int], most: int) -> tuple[str, int, int] | None:
@@ -132,13 +172,17 @@ class Bases:
                 return top, tier, counts[top]
         return None
 
-    def touch(self, h: str) -> None:
-        self.live[h] = self.live.pop(h)
+    def touch(self, h: str, alone: int) -> None:
+        self.live[h] = self.live.pop(h)[0], alone
 
-    def add(self, h: str, slots: list[int]) -> None:
-        while len(self.live) >= self.room:
-            oldest = next(iter(self.live))
-            for s in self.live.pop(oldest):
+    def forget(self, alone: int) -> None:
+        """Drop the bases after whose last use ``room`` others were used."""
+        while self.live:
+            oldest, (slots, then) = next(iter(self.live.items()))
+            if alone - then + len(self.live) - 1 < self.room:
+                return
+            del self.live[oldest]
+            for s in slots:
                 held = self.index[s]
                 if isinstance(held, str):
                     del self.index[s]
@@ -146,7 +190,9 @@ class Bases:
                     held.pop(oldest, None)
                     if len(held) == 1:
                         self.index[s] = next(iter(held))
-        self.live[h] = slots
+
+    def add(self, h: str, slots: list[int], alone: int) -> None:
+        self.live[h] = slots, alone
         for s in slots:
             held = self.index.get(s)
             if held is None:

@@ -198,3 +198,14 @@ def test_store_locations():
     for bad in ("../x", "a/../../x", "/etc/passwd", "a/../b"):
         with pytest.raises(ConfigError):
             safe_target("/d", bad)
+
+
+def test_key_lists_against_single_chunks(spark):
+    rng = random.Random(5)
+    rows = [(None,), (b"",)] + [(rng.randbytes(n),) for n in (1, 63, 64, 65, 255, 256, 257, 383, 384, 1024, 5000)]
+    for r in features.with_keys(spark.createDataFrame(rows, "data binary").repartition(3)).collect():
+        want = None if r["data"] is None else features.super_features(bytes(r["data"]))
+        got = None if r["keys"] is None else {(k["tier"], k["slot"]): k["sf"] & features.LOW64 for k in r["keys"]}
+        assert got == want
+    assert features.key_lists(features.pa.array([None, b"x"], "binary")).to_pylist() == [None, None]
+    assert len(features.key_lists(features.pa.array([], "binary"))) == 0

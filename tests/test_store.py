@@ -238,6 +238,49 @@ def test_evicted_bases_leave_their_buckets(spark):
     assert [(r["hash"], r["base_hash"]) for r in found] == [("00ff", "0010")]
 
 
+def one_by_one(rows, room, most=5):
+    """The sequential search over one shard with a plain list of live bases, the least recently used first."""
+    live, arrived, out = [], [], {}
+    for h, _, slots in sorted(rows, key=lambda r: (r[1], r[0])):
+        best = None
+        for tier in (3, 2, 1):
+            counts = {}
+            for key in [k for k in slots if k[0] == tier]:
+                for base, own in [x for x in arrived if x[0] in live and key in x[1]][:most]:
+                    counts[base] = counts.get(base, 0) + 1
+            if counts:
+                best = max(counts, key=counts.__getitem__)
+                out[h] = (best, tier, counts[best])
+                break
+        if best is None:
+            live = live[-(room - 1) :] if room > 1 else []
+            arrived.append((h, slots))
+        live = [x for x in live if x != best] + [best or h]
+    return out
+
+
+@pytest.mark.parametrize("room", [1, 7, 40, 1000])
+def test_sequential_search_against_one_by_one(spark, room):
+    rng = random.Random(room)
+    rows = []
+    for i in range(300):  # half the chunks share nothing
+        sf = lambda k: 10_000 + 100 * i + k if i % 2 else rng.randrange(25)
+        rows.append((f"00{rng.getrandbits(40):010x}", i // 3, keys((3, 0, sf(1)), (3, 1, sf(2)), (2, 0, sf(3)), (1, 0, sf(4)), (1, 1, sf(5)))))
+    chunks = spark.createDataFrame(rows, "hash string, seq long, keys array<struct<tier:int,slot:int,sf:bigint>>").repartition(4)
+    for most in (0, similarity.BROADCAST_ROWS):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(similarity, "BROADCAST_ROWS", most)
+            found = {r["hash"]: (r["base_hash"], r["tier"], r["matches"]) for r in similarity.sequential_matches(chunks, budget=4 * room).collect()}
+        assert found == one_by_one(rows, room)
+
+
+def test_chunks_that_share_nothing_stay_out_of_the_sequential_task(spark):
+    far = spark.range(2000).selectExpr("'00' shard", "concat('00', lpad(hex(id), 6, '0')) hash", "id seq", "array(named_struct('tier', 3, 'slot', 0, 'sf', id % 1999)) keys")
+    for room, rows in ((5000, [None, None]), (100, [0, 1999])):
+        got = similarity.sequential_rows(far.withColumn("keys", F.col("keys").cast("array<struct<tier:int,slot:int,sf:bigint>>")), room).collect()
+        assert sorted(r["seq"] for r in got) == [0, 1999] and sorted((r["row"] for r in got), key=str) == rows
+
+
 def test_json_manifests(spark, tmp_path):
     (tmp_path / "a.txt.manifest").write_text('{\n "path": "/x/a.txt", "size": 3, "modified": "17", "permissions": 420,\n "chunk_hashes": ["aa", "bb"]\n}')
     r = import_manifests(spark, str(tmp_path)).first()
